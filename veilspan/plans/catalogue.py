@@ -1,15 +1,388 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine and their SQL.
+
+There is no gold table: the primary rules stand for gold, the alternate ones for predictions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspan.functions import labels as L
+from veilspan.functions import text as T
+from veilspan.operators import decode as D
+from veilspan.operators import metrics as M
+from veilspan.operators import redact as R
+from veilspan.operators import sampling
+from veilspan.operators import spans as S
+from veilspan.operators import tokens as K
+from veilspan.plans import oracle as O
+from veilspan.sources import records
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjoint gold spans."""
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_stable(R.detect(F.col("text"), R.PRIMARY)))
+
+
+def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_by_label(R.detect(F.col("text"), R.ALTERNATE)))
+
+
+_ALL = (*R.PRIMARY, *R.ALTERNATE)
+_SPAN_COLS = "doc_id, label, span_start, span_end"
+_GOLD_SQL = f"gold_in AS ({O.spans(R.PRIMARY)}), " + O.greedy("gold_in", ties="place", name="gold")
+_PRED_SQL = f"pred_in AS ({O.spans(R.ALTERNATE)}), " + O.greedy("pred_in", within=", label", name="pred")
+_BOTH_SQL = f"WITH RECURSIVE {_GOLD_SQL}, {_PRED_SQL}"
+
+for _name, _rule in {"email": R.PRIMARY[1], "phone": R.PRIMARY[2], "account": R.PRIMARY[0], "secret": R.PRIMARY[4]}.items():
+
+    def _one(spark: SparkSession, sf_dir: str, rule: R.Rule = _rule) -> DataFrame:
+        return R.spans_long(_docs(spark, sf_dir), "doc_id", R.detect(F.col("text"), [rule]), F.col("text")).drop("label")
+
+    _add(f"detect_{_name}", f"SELECT doc_id, span_start, span_end, surface FROM ({O.matches(_rule[1])})")(_one)
+
+
+@_add("detect_url_pages", f"SELECT page_id, span_start, span_end, surface FROM ({O.matches(R.PRIMARY[3][1], 'pages', 'page_id', 'url')})")
+def detect_url_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_table(spark, sf_dir, "pages"), "page_id", R.detect(F.col("url"), [R.PRIMARY[3]]), F.col("url")).drop("label")
+
+
+@_add("detect_all_long", f"SELECT {_SPAN_COLS}, surface FROM ({O.spans(R.PRIMARY)})")
+def detect_all_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", R.detect(F.col("text")), F.col("text"))
+
+
+@_add("select_non_overlapping", f"WITH RECURSIVE s AS ({O.spans(_ALL)}), {O.greedy('s')} SELECT {_SPAN_COLS} FROM kept")
+def select_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.select_non_overlapping(R.detect(F.col("text"), _ALL)))
+
+
+@_add("discard_overlap_by_label", f"WITH RECURSIVE s AS ({O.spans(_ALL)}), {O.greedy('s', within=', label')} SELECT {_SPAN_COLS} FROM kept")
+def discard_overlap_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_by_label(R.detect(F.col("text"), _ALL)))
+
+
+@_add("gold_overlap_discard", f"WITH RECURSIVE s AS ({O.spans(_ALL)}), {O.greedy('s', ties='place')} SELECT {_SPAN_COLS} FROM kept")
+def gold_overlap_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_stable(R.detect(F.col("text"), _ALL)))
+
+
+_REDACT = f"WITH RECURSIVE s AS ({O.spans(R.PRIMARY)}), {O.greedy('s')} "
+
+
+@_add("redact_typed", _REDACT + O.redaction(O.MARK))
+def redact_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.redact(_docs(spark, sf_dir)).select("doc_id", "redacted_text", "span_count")
+
+
+@_add("redact_mode_redacted", _REDACT + O.redaction("'<REDACTED>'"))
+def redact_mode_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.redact(_docs(spark, sf_dir), mode="redacted").select("doc_id", "redacted_text", "span_count")
+
+
+_TURNS = "turns AS (SELECT conv_id || '/' || turn AS turn_key, text FROM conversations)"
+
+
+@_add("redact_conversations", f"WITH RECURSIVE {_TURNS}, s AS ({O.spans(R.PRIMARY, 'turns', 'turn_key')}), {O.greedy('s', 'turn_key')} {O.redaction(O.MARK, 'turns', 'turn_key')}")
+def redact_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("turn_key"), "text")
+    return R.redact(turns).select("turn_key", "redacted_text", "span_count")
+
+
+_LABELS = [*L.builtin("v2").spans, "A-b c", "__x__", "?!"]
+
+
+@_add("placeholder_labels", "SELECT label, CASE WHEN p = '<>' THEN '<REDACTED>' ELSE p END AS placeholder FROM (SELECT label, " + O.MARK + " AS p FROM (VALUES " + ", ".join(f"({O.quoted(x)})" for x in _LABELS) + ") AS t(label))")
+def placeholder_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in _LABELS], "label string").select("label", T.placeholder(F.col("label")).alias("placeholder"))
+
+
+@_add("token_label_space", "SELECT CAST(0 AS INTEGER) AS label_id, 'O' AS name, CAST(0 AS INTEGER) AS span_label_id UNION ALL SELECT CAST(1 + 4 * (i - 1) + b AS INTEGER), ['B', 'I', 'E', 'S'][b + 1] || '-' || n, CAST(i AS INTEGER) FROM (SELECT unnest(range(1, 9)) AS i, unnest([" + ", ".join(map(O.quoted, L.builtin("v2").spans[1:])) + "]) AS n), unnest(range(0, 4)) AS u(b)")
+def token_label_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.builtin("v2").token_dim(spark).select("label_id", "name", "span_label_id")
+
+
+def _found(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return R.redact(_docs(spark, sf_dir)).select(*columns, F.explode("detected_spans").alias("s")).select(*columns, "s.label")
+
+
+@_add("detection_summary", _REDACT + "SELECT doc_id, label, count(*) AS n FROM kept GROUP BY doc_id, label")
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "doc_id").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+for _column in ("lang", "source"):
+
+    def _by(spark: SparkSession, sf_dir: str, column: str = _column) -> DataFrame:
+        return _found(spark, sf_dir, column).groupBy(column, "label").agg(F.count("*").alias("n"))
+
+    _add(f"summary_by_{_column}", _REDACT + f"SELECT {_column}, label, count(*) AS n FROM kept JOIN documents USING (doc_id) GROUP BY {_column}, label")(_by)
+
+
+@_add("non_ascii_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+def non_ascii_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where(~T.has_non_ascii(F.col("text"))).select("doc_id")
+
+
+_WIDE = "[ \\n]*\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}[ \\n]*"
+
+
+@_add("trim_span_whitespace", f"SELECT doc_id, span_start + length(surface) - length(ltrim(surface, ' ' || chr(10))) AS span_start, span_end - length(surface) + length(rtrim(surface, ' ' || chr(10))) AS span_end FROM ({O.matches(_WIDE)})")
+def trim_span_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = T.label_matches(F.col("text"), _WIDE, "private_phone")
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.trim_spans(F.col("text"), wide)).drop("label")
+
+
+@_add("tokenize_offsets", f"WITH {O.TOKENS} SELECT doc_id, token_idx, char_start, char_end FROM tok")
+def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.tokenize(_docs(spark, sf_dir)).drop("token")
+
+
+@_add("token_windows", f"WITH {O.TOKENS} SELECT doc_id, token_idx // 128 AS window_id, count(*) AS n_tokens FROM tok GROUP BY 1, 2")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.window_sizes(K.tokenize(_docs(spark, sf_dir)), 128)
+
+
+def _tagged(spark: SparkSession, sf_dir: str, which: Query) -> DataFrame:
+    return K.label_tokens(K.tokenize(_docs(spark, sf_dir)), which(spark, sf_dir)).where("label is not null")
+
+
+@_add("gold_token_labels", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'gold')} SELECT doc_id, token_idx, boundary || '-' || label AS tag FROM g")
+def gold_token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, _gold).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("tag"))
+
+
+_ISLANDS = (
+    "isl AS (SELECT doc_id, label, min(token_idx) AS token_start, max(token_idx) + 1 AS token_end FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY token_idx) AS island FROM ("
+    "SELECT *, CASE WHEN boundary IN ('B', 'S') OR NOT coalesce(lag(token_idx) OVER w = token_idx - 1 AND lag(boundary) OVER w IN ('B', 'I') AND lag(label) OVER w = label, false) THEN 1 ELSE 0 END AS fresh "
+    "FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY token_idx))) GROUP BY doc_id, label, island)"
+)
+
+
+@_add("bioes_to_spans", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'pred')}, {_ISLANDS} SELECT doc_id, label, token_start, token_end FROM isl")
+def bioes_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tags_to_spans(_tagged(spark, sf_dir, _pred))
+
+
+@_add(
+    "token_to_char_spans",
+    f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'pred')}, {_ISLANDS} SELECT i.doc_id, i.label, a.char_start AS span_start, b.char_end AS span_end FROM isl i "
+    "JOIN tok a ON a.doc_id = i.doc_id AND a.token_idx = i.token_start JOIN tok b ON b.doc_id = i.doc_id AND b.token_idx = i.token_end - 1",
+)
+def token_to_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = K.tokenize(_docs(spark, sf_dir))
+    return S.token_to_char_spans(S.tags_to_spans(K.label_tokens(tokens, _pred(spark, sf_dir)).where("label is not null")), tokens)
+
+
+_IN = "EXISTS (SELECT 1 FROM {o} o WHERE o.doc_id = x.doc_id {typed}AND o.span_start <= x.span_start AND o.span_end >= x.span_end)"
+_TYPED = _IN.replace("{typed}", "AND o.label = x.label ")
+_UNTYPED = _IN.replace("{typed}", "")
+for _name, _left, _keep in (("span_precision_semi", "pred", True), ("span_fp_anti", "pred", False), ("span_recall_semi", "gold", True), ("span_fn_anti", "gold", False)):
+    _right = "gold" if _left == "pred" else "pred"
+
+    def _match(spark: SparkSession, sf_dir: str, left: str = _left, keep: bool = _keep) -> DataFrame:
+        p, g = _pred(spark, sf_dir), _gold(spark, sf_dir)
+        return (M.matched if keep else M.unmatched)(*((p, g) if left == "pred" else (g, p)))
+
+    _add(_name, f"{_BOTH_SQL} SELECT {_SPAN_COLS} FROM {_left} x WHERE {'' if _keep else 'NOT '}{_TYPED.format(o=_right)}")(_match)
+
+
+def _metric_sql(typed: bool) -> str:
+    hit = _TYPED if typed else _UNTYPED
+    counts = (
+        f"p AS (SELECT label, count(*) AS n, count(*) FILTER (hit) AS ok FROM (SELECT x.label, {hit.format(o='gold')} AS hit FROM pred x) GROUP BY label), "
+        f"g AS (SELECT label, count(*) AS n, count(*) FILTER (hit) AS ok FROM (SELECT x.label, {hit.format(o='pred')} AS hit FROM gold x) GROUP BY label), "
+        "c AS (SELECT coalesce(p.label, g.label) AS label, coalesce(p.ok, 0) AS tpp, coalesce(p.n, 0) AS np, coalesce(g.ok, 0) AS tpr, coalesce(g.n, 0) AS ng FROM p FULL JOIN g ON p.label = g.label), "
+        "a AS (SELECT 'detection.span.' AS prefix, sum(tpp) AS tpp, sum(np) AS np, sum(tpr) AS tpr, sum(ng) AS ng FROM c"
+        + (" UNION ALL SELECT 'by_class.' || label || '.span.', tpp, np, tpr, ng FROM c" if typed else "")
+        + "), r AS (SELECT prefix, CASE WHEN np > 0 THEN CAST(tpp AS DOUBLE) / np END AS p, CASE WHEN ng > 0 THEN CAST(tpr AS DOUBLE) / ng END AS r FROM a), "
+        "m AS (SELECT prefix || 'precision' AS metric, p AS value FROM r UNION ALL SELECT prefix || 'recall', r FROM r "
+        "UNION ALL SELECT prefix || 'f1', CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) END FROM r UNION ALL SELECT prefix || 'f2', CASE WHEN p + r > 0 THEN 5 * p * r / (4 * p + r) END FROM r)"
+    )
+    return f"{_BOTH_SQL}, {counts} SELECT metric, round(value, 9) AS value FROM m WHERE value IS NOT NULL"
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    return metrics.select("metric", F.round("value", 9).alias("value"))
+
+
+@_add("span_metrics_typed", _metric_sql(True))
+def span_metrics_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.span_metrics(_pred(spark, sf_dir), _gold(spark, sf_dir)))
+
+
+@_add("span_metrics_untyped", _metric_sql(False))
+def span_metrics_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.span_metrics(_pred(spark, sf_dir), _gold(spark, sf_dir), typed=False))
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, token_idx, gold_tag, pred_tag of all tokens."""
+    tokens = K.tokenize(_docs(spark, sf_dir))
+    gold = K.label_tokens(tokens, _gold(spark, sf_dir)).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("gold_tag"))
+    pred = K.label_tokens(tokens, _pred(spark, sf_dir)).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("pred_tag"))
+    return gold.join(pred, ["doc_id", "token_idx"])
+
+
+_TAGS_SQL = (
+    f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'gold')}, {O.labelled('p', 'pred')}, tags AS (SELECT t.doc_id, t.token_idx, coalesce(g.boundary || '-' || g.label, 'O') AS gold_tag, "
+    "coalesce(p.boundary || '-' || p.label, 'O') AS pred_tag FROM tok t LEFT JOIN g ON g.doc_id = t.doc_id AND g.token_idx = t.token_idx LEFT JOIN p ON p.doc_id = t.doc_id AND p.token_idx = t.token_idx)"
+)
+_RATIOS = (
+    "SELECT prefix || 'precision' AS metric, CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS value FROM c UNION ALL SELECT prefix || 'recall', CAST(tp AS DOUBLE) / nullif(tp + fn, 0) FROM c "
+    "UNION ALL SELECT prefix || 'f1', CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0) FROM c UNION ALL SELECT prefix || 'f2', CAST(5 * tp AS DOUBLE) / nullif(5 * tp + 4 * fn + fp, 0) FROM c"
+)
+
+
+@_add(
+    "token_metrics",
+    f"{_TAGS_SQL}, c AS (SELECT 'detection.' AS prefix, count(*) AS n, count(*) FILTER (gold_tag = pred_tag) AS ok, count(*) FILTER (gold_tag <> 'O' AND pred_tag <> 'O') AS tp, "
+    "count(*) FILTER (gold_tag = 'O' AND pred_tag <> 'O') AS fp, count(*) FILTER (gold_tag <> 'O' AND pred_tag = 'O') AS fn FROM tags) SELECT metric, round(value, 9) AS value FROM ("
+    f"SELECT 'n_tokens' AS metric, CAST(n AS DOUBLE) AS value FROM c UNION ALL SELECT 'token_accuracy', CAST(ok AS DOUBLE) / nullif(n, 0) FROM c UNION ALL {_RATIOS}) WHERE value IS NOT NULL",
+)
+def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.token_metrics(_tags(spark, sf_dir)))
+
+
+@_add(
+    "token_metrics_by_class",
+    f"{_TAGS_SQL}, gc AS (SELECT gold_tag AS tag, count(*) AS g, count(*) FILTER (gold_tag = pred_tag) AS tp FROM tags GROUP BY 1), pc AS (SELECT pred_tag AS tag, count(*) AS p FROM tags GROUP BY 1), "
+    "c AS (SELECT 'by_class.' || gc.tag || '.' AS prefix, tp, coalesce(p, 0) - tp AS fp, g - tp AS fn FROM gc LEFT JOIN pc ON gc.tag = pc.tag WHERE gc.tag <> 'O') "
+    f"SELECT metric, round(value, 9) AS value FROM ({_RATIOS}) WHERE value IS NOT NULL",
+)
+def token_metrics_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.token_metrics_by_class(_tags(spark, sf_dir)))
+
+
+@_add(
+    "label_counts_delta",
+    f"{_TAGS_SQL} SELECT label, CAST(sum(g) AS BIGINT) AS gold, CAST(sum(1 - g) AS BIGINT) AS pred, CAST(sum(1 - 2 * g) AS BIGINT) AS delta FROM "
+    "(SELECT gold_tag AS label, 1 AS g FROM tags UNION ALL SELECT pred_tag, 0 FROM tags) GROUP BY label",
+)
+def label_counts_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.label_counts(_tags(spark, sf_dir))
+
+
+@_add(
+    "ground_truth_label_recall",
+    f"{_BOTH_SQL}, hit AS (SELECT g.doc_id, g.place, g.label, greatest(p.span_start, g.span_start) AS a, least(p.span_end, g.span_end) AS b FROM gold g JOIN pred p ON p.doc_id = g.doc_id "
+    "AND p.span_start < g.span_end AND p.span_end > g.span_start), far AS (SELECT *, max(b) OVER (PARTITION BY doc_id, place ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM hit), "
+    "cov AS (SELECT label, sum(greatest(b - greatest(a, coalesce(f, a)), 0)) AS n FROM far GROUP BY label), tot AS (SELECT label, sum(span_end - span_start) AS n FROM gold GROUP BY label) "
+    "SELECT tot.label, CAST(coalesce(cov.n, 0) AS BIGINT) AS recalled_chars, CAST(tot.n AS BIGINT) AS ground_truth_chars, round(CAST(coalesce(cov.n, 0) AS DOUBLE) / tot.n, 9) AS recall FROM tot LEFT JOIN cov ON cov.label = tot.label",
+)
+def ground_truth_label_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.ground_truth_label_recall(_gold(spark, sf_dir), _pred(spark, sf_dir)).withColumn("recall", F.round("recall", 9))
+
+
+#: Synthetic scores: eight tokens a document, five classes, two overlapping windows.
+_SPACE5 = L.custom(["O", "pii"])
+
+
+def _scores(spark: SparkSession, sf_dir: str, window: int = 0) -> DataFrame:
+    value = lambda c: (F.pmod(F.col("doc_id") * 31 + F.col("t") * 17 + c * 7 + window * 5, F.lit(13)) / 4.0).cast("double")
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("t"))
+    return rows.select("doc_id", F.col("t").alias("token_idx"), D.log_softmax(F.array(*[value(c) for c in range(5)])).alias("logprobs"))
+
+
+_SCORES_SQL = (
+    "x AS (SELECT doc_id, t, c, w, CAST((doc_id * 31 + t * 17 + c * 7 + w * 5) % 13 AS DOUBLE) / 4.0 AS v FROM documents, unnest(range(0, 8)) AS a(t), unnest(range(0, 5)) AS b(c), unnest(range(0, 2)) AS d(w)), "
+    "l AS (SELECT doc_id, t AS token_idx, c AS class_id, w, v - ln(sum(exp(v)) OVER (PARTITION BY doc_id, t, w)) AS lp FROM x)"
+)
+
+
+@_add("overlap_window_merge", f"WITH {_SCORES_SQL} SELECT doc_id, token_idx, CAST(class_id AS BIGINT) AS class_id, count(*) AS n_windows, round(ln(sum(exp(lp))) - ln(count(*)), 6) AS logprob FROM l GROUP BY 1, 2, 3")
+def overlap_window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _scores(spark, sf_dir).unionByName(_scores(spark, sf_dir, 1))
+    return D.merge_windows(both, ["doc_id", "token_idx"]).select("doc_id", "token_idx", F.col("class_id").cast("long").alias("class_id"), "n_windows", F.round("logprob", 6).alias("logprob"))
+
+
+@_add("argmax_decode", f"WITH {_SCORES_SQL} SELECT doc_id, token_idx, CAST(min(class_id) AS BIGINT) AS label_id FROM (SELECT *, v = max(v) OVER (PARTITION BY doc_id, t) AS best FROM (SELECT doc_id, t, t AS token_idx, c AS class_id, v FROM x WHERE w = 0)) WHERE best GROUP BY 1, 2")
+def argmax_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("doc_id", "token_idx", D.argmax(F.col("logprobs")).alias("label_id"))
+
+
+@_add("topk_logprobs", f"WITH {_SCORES_SQL} SELECT doc_id, token_idx, rank, label_id, logprob FROM (SELECT doc_id, token_idx, CAST(class_id AS BIGINT) AS label_id, round(lp, 6) AS logprob, row_number() OVER (PARTITION BY doc_id, token_idx ORDER BY round(lp, 6) DESC, class_id) AS rank FROM l WHERE w = 0) WHERE rank <= 3")
+def topk_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = D.top_k(F.transform("logprobs", lambda x: F.round(x, 6)), 3)
+    return _scores(spark, sf_dir).select("doc_id", "token_idx", F.posexplode(best).alias("p", "k")).select("doc_id", "token_idx", (F.col("p") + 1).cast("long").alias("rank"), "k.label_id", "k.logprob")
+
+
+@_add("viterbi_decode")
+def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scores(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_idx", "logprobs"))).alias("r"))
+    rows = rows.select("doc_id", F.transform("r", lambda x: x["logprobs"]).alias("scores"))
+    decoded = D.viterbi(rows, _SPACE5, D.Biases(transition_bias_background_stay=0.25))
+    return decoded.select("doc_id", F.posexplode("labels").alias("token_idx", "label_id")).select("doc_id", F.col("token_idx").cast("long"), F.col("label_id").cast("long"))
+
+
+@_add(
+    "message_split",
+    "WITH t AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE role <> 'system' GROUP BY conv_id), "
+    f"m AS ({O.matches('(?:^|' + chr(10) + chr(10) + ')(?:user|assistant): ', 't', 'conv_id')}), "
+    "b AS (SELECT m.conv_id, k - 1 AS message_index, span_end AS a, coalesce(lead(span_start) OVER (PARTITION BY m.conv_id ORDER BY k), length(t.text)) AS e, t.text FROM m JOIN t ON t.conv_id = m.conv_id) "
+    "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY message_index) - 1 AS BIGINT) AS message_index, substring(text, a + 1, e - a) AS text FROM b WHERE e > a",
+)
+def message_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").where("role <> 'system'")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("x"))))
+    transcripts = turns.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda s: s["x"]), "\n\n").alias("text"))
+    return records.explode_messages(transcripts, "conv_id").select("conv_id", "message_index", "text")
+
+
+@_add("stable_example_id", "SELECT doc_id, sha256('{\"index\": ' || doc_id || ', \"text\": ' || CAST(to_json(text) AS VARCHAR) || '}') AS example_id FROM documents")
+def stable_example_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", records.stable_id(F.col("text"), F.col("doc_id")).alias("example_id"))
+
+
+@_add("split_train_validation", "SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) <= least(greatest(CAST(floor(count(*) OVER () * 0.1) AS BIGINT), 1), count(*) OVER () - 1) AS validation FROM documents")
+def split_train_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.split_validation(_docs(spark, sf_dir), 0.1, seed=7).select("doc_id", "validation")
+
+
+@_add("epoch_batches", "SELECT doc_id, (row_number() OVER (ORDER BY md5('3:' || doc_id), doc_id) - 1) // 32 AS batch FROM documents")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.shuffled_batches(_docs(spark, sf_dir), 32, seed=3).select("doc_id", "batch")
+
+
+@_add("version_compare", "SELECT a, b, CAST(CASE WHEN a = b OR a LIKE '%x%' OR b LIKE '%x%' THEN 0 WHEN string_split(a, '.')::INT[] < string_split(b, '.')::INT[] THEN -1 ELSE 1 END AS INTEGER) AS cmp FROM (VALUES ('1.3', '1.3.0'), ('2.0', '1.9.9'), ('1.10', '1.9'), ('1.x', '2'), ('1.0', '1.0')) AS t(a, b)")
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("1.3", "1.3.0"), ("2.0", "1.9.9"), ("1.10", "1.9"), ("1.x", "2"), ("1.0", "1.0")]
+    return spark.createDataFrame(rows, "a string, b string").select("a", "b", T.compare_versions(F.col("a"), F.col("b")).alias("cmp"))
+
+
+@_add("result_json")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.Redactor().results(_docs(spark, sf_dir)).select("doc_id", "result")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
