@@ -41,7 +41,7 @@ def numbered(records: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as texts (path, text); empty ones skipped."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.where("text <> ''")
 
 
