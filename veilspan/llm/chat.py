@@ -79,22 +79,20 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
         "chat-ids",
     )
     parents = ids.where("up is not null").select(F.col("tree").alias("_t"), F.col("up").alias("_m")).distinct()
-    # Round k: ``up`` is the ancestor 2^k steps above, null if the root is nearer; ``sum`` is of all scores from the message up to, not with, ``up``.
-    levels, now = [], ids
-    while not now.where("up is not null").isEmpty():
-        levels.append(now)
-        if len(levels) > 62:
-            break
-        above = now.select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("steps").alias("_steps"))
-        now = written(
-            now.join(above, now.tree.eqNullSafe(above._t) & (now.up == above._m), "left").select(
-                "tree", "message", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
-            ),
-            "chat-up",
+    # Round k: ``up`` is the ancestor 2^k steps above; ``sum`` is of all scores from the message up to, not
+    # with, ``up``. A message whose next pointer would pass the root is done and isn't joined again.
+    done, active, levels = [ids.where("up is null")], ids.where("up is not null"), []
+    while not active.isEmpty() and len(levels) < 40:  # what is left after 2^40 steps is a cycle
+        levels.append(active)
+        above = reduce(DataFrame.unionByName, [*done, active]).select(F.col("tree").alias("_t"), F.col("message").alias("_m"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("steps").alias("_steps"))
+        moved = active.join(above, active.tree.eqNullSafe(above._t) & (active.up == above._m)).select(
+            "tree", "message", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("steps") + F.col("_steps")).alias("steps")
         )
-        if len(levels) >= 40:
-            now = now.where("false")  # deeper than any stored tree: what is left is a cycle
-    leaves = now.join(parents, now.tree.eqNullSafe(parents._t) & (now.message == parents._m), "left_anti") if levels else now
+        moved = written(moved, "chat-up")
+        done.append(moved.where("up is null"))
+        active = moved.where("up is not null")
+    ends = reduce(DataFrame.unionByName, done)
+    leaves = ends.join(parents, ends.tree.eqNullSafe(parents._t) & (ends.message == parents._m), "left_anti")
     best = F.struct((-F.col("sum")).alias("s"), (-F.col("steps")).alias("n"), F.col("message").alias("leaf"))
     if keep == 1:
         leaves = leaves.groupBy("tree").agg(F.min(best).alias("b")).select("tree", F.lit(1).alias("rank"), F.col("b.leaf").alias("leaf"), (-F.col("b.n")).alias("depth"))
@@ -103,7 +101,7 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
         leaves = leaves.select("tree", F.row_number().over(w).alias("rank"), F.col("message").alias("leaf"), F.col("steps").alias("depth")).where(F.col("rank") <= keep)
     path = leaves.select("tree", "rank", "leaf", "depth", F.col("leaf").alias("message"), F.lit(0).cast("long").alias("back"))
     for k in reversed(range(len(levels))):
-        up = levels[k].where("up is not null").select(F.col("tree").alias("_t"), F.col("message").alias("_m"), "up")
+        up = levels[k].select(F.col("tree").alias("_t"), F.col("message").alias("_m"), "up")
         # Every message listed so far also lists the one 2^k above it: all distances, each once.
         higher = path.join(up, path.tree.eqNullSafe(up._t) & (path.message == up._m)).select("tree", "rank", "leaf", "depth", F.col("up").alias("message"), (F.col("back") + (1 << k)).alias("back"))
         path = written(path.unionByName(higher), "chat-path")
