@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textbuf
+from veilspan.llm.store import small_batches, trim
 
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, start_word long"
 _STRIDE = 16
@@ -113,7 +114,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np
         use = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(use, -1)), pa.array(np.append(found[use], total))], names=["term", "n"])
 
-    rows = docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(len(vocabulary.hashes)), 0
     for r in rows:  # one per benchmark term
         if r["term"] < 0:
@@ -301,7 +302,7 @@ def matches(docs: DataFrame, index: Index, cosine: float = 0.65, lcs: float = 0.
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in MATCHES.split(", ")])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(task, MATCHES)
+    return small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(task, MATCHES)
 
 
 def drop_contaminated(docs: DataFrame, index: Index, cosine: float = 0.65, lcs: float = 0.7, paraphrase: float = 0.5, text: str = "text") -> DataFrame:
@@ -315,5 +316,6 @@ def drop_contaminated(docs: DataFrame, index: Index, cosine: float = 0.65, lcs:
                 bad = {m[0] for m in _search(held.value, column.slice(a, b - a), cosine, lcs, paraphrase)}
                 if len(bad) < b - a:
                     yield batch.slice(a, b - a).filter(pa.array([r not in bad for r in range(b - a)]))
+        trim()
 
-    return docs.mapInArrow(task, docs.schema)
+    return small_batches(docs).mapInArrow(task, docs.schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textbuf
-from veilspan.llm.store import written
+from veilspan.llm.store import small_batches, trim, written
 
 SIGNED = "doc_id long, row long, key binary, n long, bands array<long>, grams binary"
 
@@ -91,8 +91,9 @@ def sign(docs: DataFrame, bands: int, rows: int, words: int = 5, doc_id: str = "
                     ],
                     names=["doc_id", "row", "key", "n", "bands", "grams"],
                 )
+        trim()
 
-    chosen = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return chosen.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(task, SIGNED)
 
 

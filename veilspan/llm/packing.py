@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from veilspan.llm.store import small_batches, trim
 from veilspan.llm.tokens import encoder
 
 PIECES = (
@@ -149,6 +150,7 @@ def pack(
             emit(full)
         if rows:
             yield flush()
+        trim()
 
-    chosen = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return chosen.mapInArrow(task, PIECES)

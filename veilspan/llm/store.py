@@ -36,3 +36,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that Arrow batches of whole texts stay small: Spark's default of 10,000
+    rows is for narrow rows. A value that the session sets itself is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
+def trim() -> None:
+    """Give a Python worker's free memory back: it outlives its task."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

@@ -23,6 +23,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veilspan.llm.store import small_batches
+
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _automata: dict[str, Automaton] = {}
 
@@ -117,5 +119,5 @@ def count_tokens(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str
                 [batch.column(0), pa.array(words_of, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"]
             )
 
-    chosen = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return chosen.mapInArrow(task, "doc_id long, n_words long, n_tokens long")

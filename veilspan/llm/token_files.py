@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import range_coder
-from veilspan.llm.store import shared_dir
+from veilspan.llm.store import shared_dir, small_batches, trim
 from veilspan.llm.tokens import encoder
 
 CONTAINERS = (
@@ -79,8 +79,9 @@ def write(
                         yield container()
         if held:
             yield container()
+        trim()
 
-    chosen = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    chosen = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     n = partitions or _partitions(chosen)
     ordered = chosen.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(task, CONTAINERS).write.option("compression", "none").parquet(path)

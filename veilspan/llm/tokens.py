@@ -20,9 +20,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Fixed value: the cutting pattern of the byte-level vocabulary, as published with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for texts without characters of ``_RARE``: letters, digits and spaces spelled out.
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
-_CUT = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-_RARE = re.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]|[\u0085\u001c-\u001f]")
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_CUT = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_RARE = re.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]")
 _SPACED = re.compile(f" [{_L}]+")
 _encoders: dict[str, Encoder] = {}
 
@@ -65,7 +65,7 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        whole = [k for k, t in enumerate(texts) if t and _RARE.search(t)]
+        whole = [k for k, t in enumerate(texts) if t and not t.isascii() and _RARE.search(t)]
         rare = set(whole)
         cuts = [_CUT.findall(t) if t and k not in rare else () for k, t in enumerate(texts)]
         known = self.known

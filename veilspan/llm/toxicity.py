@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm.store import small_batches, trim
+
 _TERM = re.compile(r"[^\W\d_]+")
 SCORED = "doc_id long, score double, vote double, neighbour_ids array<long>, similarities array<double>"
 
@@ -207,8 +209,9 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, doc_id: str = "doc_i
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "score", "vote", "neighbour_ids", "similarities"]
                 )
+        trim()
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(task, SCORED)
+    return small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(task, SCORED)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -219,8 +222,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text: str
         m, known = held.value, {}
         for batch in batches:
             good = []
-            for t in batch.column(text).to_pylist():
-                key = tuple((vector := m.vector(t)).items())
+            for t in batch.column(batch.schema.get_field_index(text)):
+                key = tuple((vector := m.vector(t.as_py())).items())
                 if key not in known:
                     if len(known) > 20_000:
                         known.clear()
@@ -228,5 +231,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text: str
                 good.append(known[key] < threshold)
             if any(good):
                 yield batch.filter(pa.array(good))
+        trim()
 
-    return docs.mapInArrow(task, docs.schema)
+    return small_batches(docs).mapInArrow(task, docs.schema)
