@@ -21,8 +21,8 @@ import numpy as np
 MAGIC = b"VSRC"
 VERSION = 1
 _HEAD = struct.Struct("<4sBII")
-_H1, _H2 = 10, 11  # bits of the context tables
-_BASE = np.array([0, 256, 2048, 8192], dtype=np.int64)  # first id of each size class
+_H1, _H2 = 9, 9  # bits of the context tables: a block has 1,024 ids
+_BASE = np.array([0, 256, 2048, 8192], dtype=np.int32)  # first id of each size class
 _MASK = 0xFFFFFFFF
 
 
@@ -31,23 +31,25 @@ class _Event:
 
     def __init__(self, lanes: int, contexts: int):
         self.contexts = contexts
-        self.fine = np.full(lanes * contexts, 1 << 15, dtype=np.int64)
-        self.rate = np.full(lanes, 1 << 15, dtype=np.int64)
-        self.weight = np.full(lanes, 32, dtype=np.int64)
+        self.fine = np.full(lanes * contexts, 1 << 15, dtype=np.int32)
+        self.rate = np.full(lanes, 1 << 15, dtype=np.int32)
+        self.weight = np.full(lanes, 32, dtype=np.int32)
 
     def probability(self, lane: np.ndarray, context: np.ndarray) -> tuple:
         at = lane * self.contexts + context
         fine, rate, weight = self.fine[at], self.rate[lane], self.weight[lane]
-        p = (weight * fine + (64 - weight) * rate) >> 6
-        np.clip(p, 96, 65536 - 96, out=p)
+        p = (weight * (fine - rate) >> 6) + rate
+        np.maximum(p, 96, out=p)
+        np.minimum(p, 65536 - 96, out=p)
         return p, (lane, at, fine, rate, weight)
 
     def learn(self, kept: tuple, bit: np.ndarray) -> None:
         lane, at, fine, rate, weight = kept
-        one = bit * 65535
+        one = bit * np.int32(65535)
         self.fine[at] = fine + ((one - fine) >> 4)
         self.rate[lane] = rate + ((one - rate) >> 6)
-        self.weight[lane] = np.clip(weight + np.where((fine > rate) == bit, 1, -1), 1, 63)
+        nearer = ((fine > rate) == bit).view(np.int8)
+        self.weight[lane] = np.minimum(np.maximum(weight + (2 * nearer - 1), 1), 63)
 
 
 class _Coder:
@@ -92,12 +94,12 @@ def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None, side: np.nd
     """Code (``ids`` given, step by lane) or decode all blocks. ``lengths`` must not increase."""
     lanes, steps = len(lengths), int(lengths[0]) if len(lengths) else 0
     encode = ids is not None
-    out = ids if encode else np.zeros((steps, lanes), dtype=np.int64)
+    out = ids if encode else np.zeros((steps, lanes), dtype=np.int32)
     every = np.arange(lanes, dtype=np.int64)
-    t1, t2 = np.zeros(lanes << _H1, dtype=np.int64), np.zeros(lanes << _H2, dtype=np.int64)  # id << 2 | confidence
-    zero, votes = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    t1, t2 = np.zeros(lanes << _H1, dtype=np.int32), np.zeros(lanes << _H2, dtype=np.int32)  # id << 2 | confidence
+    zero, votes = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
     e2, e1, e0, size = _Event(lanes, 16), _Event(lanes, 16), _Event(lanes, 4), _Event(lanes, 12)
-    prev, older, kind = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    prev, older, kind = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
 
     def event(e: _Event, lane: np.ndarray, context: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
         p, kept = e.probability(lane, context)
@@ -111,8 +113,8 @@ def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None, side: np.nd
         n = len(lane)
         if n < len(prev):
             prev, older, kind = prev[:n], older[:n], kind[:n]
-        at1 = (lane << _H1) + ((prev * 0x9E5B) >> 6 & (1 << _H1) - 1)
-        at2 = (lane << _H2) + ((prev * 0x2545F491 + older * 0x9E3779B1) >> 14 & (1 << _H2) - 1)
+        at1 = (lane << _H1) + ((prev * 0x7E5B) >> 7 & (1 << _H1) - 1)
+        at2 = (lane << _H2) + ((prev * 0x3A4B + older * 0x22C5) >> 8 & (1 << _H2) - 1)
         s1, s2 = t1[at1], t2[at2]
         p1, p2, c1, c2 = s1 >> 2, s2 >> 2, s1 & 3, s2 & 3
         now = out[t, :n]
@@ -152,9 +154,9 @@ def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None, side: np.nd
                     side_at[new] += 1
                     side[side_at[wide]] = left[cls > 0] >> 8
                 else:
-                    left = side[side_at[new]].astype(np.int64)
+                    left = side[side_at[new]].astype(np.int32)
                     side_at[new] += 1
-                    left[cls > 0] |= side[side_at[wide]].astype(np.int64) << 8
+                    left[cls > 0] |= side[side_at[wide]].astype(np.int32) << 8
                     now[new] = left + _BASE[cls]
                 side_at[wide] += 1
         for table, at, s, p, c in ((t1, at1, s1, p1, c1), (t2, at2, s2, p2, c2)):
@@ -162,7 +164,7 @@ def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None, side: np.nd
         votes[:n] += np.where(now == zero[:n], 1, -1)
         lost = np.flatnonzero(votes[:n] < 0)
         zero[lost], votes[lost] = now[lost], 0
-        kind = (now >= 256).astype(np.int64) + (now >= 2048) + (now >= 8192)
+        kind = (now >= 256).astype(np.int32) + (now >= 2048) + (now >= 8192)
         older, prev = prev, now
     return out
 
@@ -175,9 +177,9 @@ def encode(ids: np.ndarray, block: int = 2048) -> bytes:
     if lanes:
         lengths[-1] = len(ids) - block * (lanes - 1)
     steps = int(lengths[0]) if lanes else 0
-    grid = np.zeros(lanes * block, dtype=np.int64)
+    grid = np.zeros(lanes * block, dtype=np.int32)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T[:steps]) if lanes else np.zeros((0, 0), np.int64)
+    grid = np.ascontiguousarray(grid.reshape(lanes, block).T[:steps]) if lanes else np.zeros((0, 0), np.int32)
     coder = _Coder(lanes, 8 * steps + 8)
     side = np.zeros(lanes * 2 * steps, dtype=np.uint8)
     side_at = np.arange(lanes, dtype=np.int64) * 2 * steps
