@@ -15,15 +15,22 @@ REDACTED_LABEL, REDACTED_MARK = "redacted", "<REDACTED>"
 MISMATCH = "Input text did not exactly match tokenizer round-trip decode; spans are based on decoded token text."
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def match_offsets(text: Column, pattern: str, needs: str | None = None) -> Column:
     """All matches of ``pattern``: array of (span_start, span_end).
 
     The gaps and the matches of a text alternate, so their lengths add up to every offset; Spark's
     position functions count UTF-16 units or find the first match only. The pattern must not match
-    the empty string and must mean the same in Java and RE2.
+    the empty string and must mean the same in Java and RE2. ``needs``: a string that every match holds;
+    texts without it are passed over before the pattern is tried.
     """
+    size = lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m")))
+    lengths = bound(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f)), f, size))
     none = F.array().cast("array<struct<span_start:bigint,span_end:bigint>>")
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
     folded = F.aggregate(
@@ -35,12 +42,13 @@ def match_offsets(text: Column, pattern: str) -> Column:
         ),
         lambda s: s["out"],
     )
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    there = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(there, folded).otherwise(none)
 
 
-def label_matches(text: Column, pattern: str, label: str) -> Column:
+def label_matches(text: Column, pattern: str, label: str, needs: str | None = None) -> Column:
     """The matches as spans of one label."""
-    return F.transform(match_offsets(text, pattern), lambda m: F.struct(F.lit(label).alias("label"), m["span_start"].alias("span_start"), m["span_end"].alias("span_end")))
+    return F.transform(match_offsets(text, pattern, needs), lambda m: F.struct(F.lit(label).alias("label"), m["span_start"].alias("span_start"), m["span_end"].alias("span_end")))
 
 
 def surface(text: Column, start: Column, end: Column) -> Column:
@@ -75,7 +83,7 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
 
 
 def format_metric(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", x), F.lit("-"))
+    return F.when(x.isNull(), F.lit("-")).otherwise(F.format_string("%.4f", x))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -33,9 +33,20 @@ ALTERNATE: tuple[Rule, ...] = (
 )
 
 
+#: What every match of a pattern holds.
+NEEDS = {
+    PRIMARY[1][1]: "@",
+    PRIMARY[2][1]: "+",
+    PRIMARY[3][1]: "://",
+    PRIMARY[4][1]: 'token = "',
+    ALTERNATE[2][1]: "@",
+    ALTERNATE[3][1]: " +",
+}
+
+
 def detect(text: Column, rules: Sequence[Rule] = PRIMARY) -> Column:
     """All matches of all rules, by rule and then by place."""
-    return F.concat(*[T.label_matches(text, p, label) for label, p in rules])
+    return F.concat(*[T.label_matches(text, p, label, NEEDS.get(p)) for label, p in rules])
 
 
 def output_mode(spans: Column, mode: str) -> Column:

@@ -53,16 +53,20 @@ def discard_overlaps_stable(spans: Column) -> Column:
 
 def discard_overlaps_by_label(spans: Column) -> Column:
     """The greedy choice within each label; the result is sorted by start, end, label."""
-    labels = F.array_distinct(F.transform(spans, lambda s: s["label"]))
-    kept = F.flatten(F.transform(labels, lambda one: _greedy(_ordered(F.filter(spans, lambda s: s["label"] == one), ties="label"))))
+
+    def by_label(all_: Column) -> Column:
+        labels = F.array_distinct(F.transform(all_, lambda s: s["label"]))
+        return F.flatten(F.transform(labels, lambda one: _greedy(_ordered(F.filter(all_, lambda s: s["label"] == one), ties="label"))))
+
+    kept = T.bound(spans, by_label)
     sort = F.array_sort(F.transform(kept, lambda s: F.struct(s["span_start"].alias("a"), s["span_end"].alias("b"), s["label"].alias("c"))))
     return F.transform(sort, lambda s: F.struct(s["c"].alias("label"), s["a"].alias("span_start"), s["b"].alias("span_end")))
 
 
 def trim_spans(text: Column, spans: Column) -> Column:
     """Spans without white space at their ends; emptied ones go."""
-    cut = lambda s: T.trimmed(text, s["span_start"], s["span_end"])
-    out = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), cut(s)["span_start"].alias("span_start"), cut(s)["span_end"].alias("span_end")))
+    cut = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), T.trimmed(text, s["span_start"], s["span_end"]).alias("p")))
+    out = F.transform(cut, lambda s: F.struct(s["label"].alias("label"), s["p"]["span_start"].alias("span_start"), s["p"]["span_end"].alias("span_end")))
     return F.filter(out, lambda s: s["span_end"] > s["span_start"])
 
 

@@ -79,17 +79,21 @@ def window_sizes(tokens: DataFrame, size: int, key: str = "doc_id") -> DataFrame
     return windows(tokens, size).groupBy(key, "window_id").agg(F.count("*").alias("n_tokens"))
 
 
-def label_tokens(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every token with the boundary and label of the span it overlaps most (ties: the earlier span);
-    null for background. A span that wins no token vanishes."""
+def won_tokens(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, token_idx, boundary, label of the tokens that a span wins: each goes to the span it overlaps
+    most (ties: the earlier one). A span that wins no token vanishes."""
     place = Window.partitionBy(key).orderBy("span_start", F.col("span_start") - F.col("span_end"), "label")
     s = spans.select(key, "label", "span_start", "span_end", F.row_number().over(place).alias("_span"))
     overlap = F.least("char_end", "span_end") - F.greatest("char_start", "span_start")
     hit = tokens.join(s, key).where("char_start < span_end AND span_start < char_end").withColumn("_o", overlap).where("_o > 0")
     best = hit.groupBy(key, "token_idx").agg(F.min(F.struct((-F.col("_o")).alias("o"), "_span", "label")).alias("b")).select(key, "token_idx", "b._span", "b.label")
     own = Window.partitionBy(key, "_span")
-    tagged = best.withColumn("boundary", bioes(F.row_number().over(own.orderBy("token_idx")), F.count("*").over(own)))
-    return tokens.join(tagged.select(key, "token_idx", "boundary", "label"), [key, "token_idx"], "left")
+    return best.withColumn("boundary", bioes(F.row_number().over(own.orderBy("token_idx")), F.count("*").over(own))).select(key, "token_idx", "boundary", "label")
+
+
+def label_tokens(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Every token with boundary and label; null for background."""
+    return tokens.join(won_tokens(tokens, spans, key), [key, "token_idx"], "left")
 
 
 def tag(boundary: Column, label: Column) -> Column:

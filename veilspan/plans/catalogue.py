@@ -169,7 +169,9 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str, which: Query) -> DataFrame:
-    return K.label_tokens(K.tokenize(_docs(spark, sf_dir)), which(spark, sf_dir)).where("label is not null")
+    """Won tokens; only documents with a span are tokenised."""
+    spans = which(spark, sf_dir)
+    return K.won_tokens(K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi")), spans)
 
 
 @_add("gold_token_labels", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'gold')} SELECT doc_id, token_idx, boundary || '-' || label AS tag FROM g")
@@ -195,8 +197,9 @@ def bioes_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     "JOIN tok a ON a.doc_id = i.doc_id AND a.token_idx = i.token_start JOIN tok b ON b.doc_id = i.doc_id AND b.token_idx = i.token_end - 1",
 )
 def token_to_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = K.tokenize(_docs(spark, sf_dir))
-    return S.token_to_char_spans(S.tags_to_spans(K.label_tokens(tokens, _pred(spark, sf_dir)).where("label is not null")), tokens)
+    spans = _pred(spark, sf_dir)
+    tokens = K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return S.token_to_char_spans(S.tags_to_spans(K.won_tokens(tokens, spans)), tokens)
 
 
 _IN = "EXISTS (SELECT 1 FROM {o} o WHERE o.doc_id = x.doc_id {typed}AND o.span_start <= x.span_start AND o.span_end >= x.span_end)"
@@ -243,10 +246,12 @@ def span_metrics_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, token_idx, gold_tag, pred_tag of all tokens."""
-    tokens = K.tokenize(_docs(spark, sf_dir))
-    gold = K.label_tokens(tokens, _gold(spark, sf_dir)).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("gold_tag"))
-    pred = K.label_tokens(tokens, _pred(spark, sf_dir)).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("pred_tag"))
-    return gold.join(pred, ["doc_id", "token_idx"])
+    tag = K.tag(F.col("boundary"), F.col("label"))
+    gold = _tagged(spark, sf_dir, _gold).select("doc_id", "token_idx", tag.alias("gold_tag"))
+    pred = _tagged(spark, sf_dir, _pred).select("doc_id", "token_idx", tag.alias("pred_tag"))
+    tokens = K.tokenize(_docs(spark, sf_dir)).select("doc_id", "token_idx")
+    both = tokens.join(gold, ["doc_id", "token_idx"], "left").join(pred, ["doc_id", "token_idx"], "left")
+    return both.select("doc_id", "token_idx", F.coalesce("gold_tag", F.lit("O")).alias("gold_tag"), F.coalesce("pred_tag", F.lit("O")).alias("pred_tag"))
 
 
 _TAGS_SQL = (
