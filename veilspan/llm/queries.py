@@ -14,7 +14,6 @@ from veilspan.llm.store import table
 #: Fixed values: (verdict, host/path).
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 TOXIC_FROM = 0.3
-DIGITS = r"[^\x20\x09-\x0D]+"
 
 
 def tokenizer_path() -> str:
@@ -47,7 +46,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
