@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 SPAN = "struct<label:string,span_start:bigint,span_end:bigint>"
 #: What Python calls white space, as a Java class.
 SPACE_CLASS = r"[\s\p{Z}\x1c-\x1f\x85]"
+#: Fixed values of the output format: the collapsed label and its mark, and the warning.
 REDACTED_LABEL, REDACTED_MARK = "redacted", "<REDACTED>"
 MISMATCH = "Input text did not exactly match tokenizer round-trip decode; spans are based on decoded token text."
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import text as T
 from veilspan.operators import spans as S
 
+#: Fixed values of the output format.
 SCHEMA_VERSION = 1
 MODES = ("typed", "redacted")
 

@@ -14,7 +14,7 @@ from veilspan.functions import text as T
 
 #: Never inferred: the keys of ``spans`` are data. A boolean or fraction as an offset fails the read.
 RECORD = "text string, spans map<string,array<array<bigint>>>, label array<struct<category:string,start:bigint,end:bigint>>, info map<string,string>"
-#: Where a message begins in a transcript; a system turn is no marker.
+#: Fixed value: where a message begins in a transcript; a system turn is no marker.
 MESSAGE = "(?:^|\n\n)(?:user|assistant): "
 SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".csv", ".json", ".log")
 
