@@ -282,9 +282,10 @@ def near_classes(
     signed = written(sign(docs, bands, rows, words, doc_id, text), "near-signed")
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     reps = written(reps, "near-reps")
-    spread = reps.where("n > 0").select("key", "n", "copies", "bands", F.posexplode("bands").alias("band", "_hash")).withColumn("bucket", F.xxhash64("band", "_hash"))
+    spread = reps.where("n > 0").select("key", F.posexplode("bands").alias("band", "_hash")).select("key", "band", F.xxhash64("band", "_hash").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1")
-    members = spread.join(sizes, "bucket").withColumn("_c", F.ceil(F.col("_m") / tile).cast("int"))
+    # Only members of shared buckets get their sizes and band hashes back.
+    members = spread.join(sizes, "bucket").join(reps.select("key", "n", "copies", "bands"), "key").withColumn("_c", F.ceil(F.col("_m") / tile).cast("int"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("_c")).cast("int"))
     tiles = members.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).select(
         "bucket", F.least("chunk", "_j").alias("i"), F.greatest("chunk", "_j").alias("j"), "band", "chunk", "key", "n", "copies", "bands"
