@@ -119,3 +119,12 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = {r.redacted_text for r in spark.table("redacted").collect()}
     batch = {r.redacted_text for r in R.redact(records.read_lines(spark, str(tmp_path / "in"))).collect()}
     assert stream == batch == {"mail <PRIVATE_EMAIL>", "<PRIVATE_PHONE> x"}
+
+
+def test_unique_ids_refuse_repeats_and_nulls(spark):
+    rows = lambda ids: spark.createDataFrame([(x,) for x in ids], "example_id string")
+    assert sorted(r[0] for r in records.unique_ids(rows(["a", "b"])).collect()) == ["a", "b"]
+    assert records.unique_ids(rows([])).collect() == []
+    for bad in (["a", "a"], ["a", None]):
+        with pytest.raises(Exception, match="missing or repeats"):
+            records.unique_ids(rows(bad)).collect()

@@ -156,3 +156,15 @@ def test_scalars(spark):
     df = spark.createDataFrame([(3725.9, 0.12345, "abc", "abd")], "s double, m double, a string, b string")
     r = df.select(T.format_duration(F.col("s")), T.format_metric(F.col("m")), T.format_metric(F.lit(None).cast("double")), T.first_mismatch(F.col("a"), F.col("b")), T.first_mismatch(F.col("a"), F.col("a")), T.safe_ratio(F.lit(1), F.lit(0))).first()
     assert tuple(r) == ("01:02:05", "0.1235", "-", 2, None, None) or tuple(r) == ("01:02:05", "0.1234", "-", 2, None, None)
+
+
+@pytest.mark.parametrize("limit", [3, 12, 80])
+def test_snippets_escape_as_python_does(spark, limit):
+    texts = ["", "plain", "tab\tnew\nback\\slash\r", "é€\x01\x7f\xa0", "\U0001f600" * 5, "x" * 100, None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for k, got in rows.select("k", T.snippet(F.col("t"), limit)).collect():
+        if texts[k] is None:
+            assert got is None
+            continue
+        whole = texts[k].encode("unicode_escape").decode()
+        assert got == (whole if len(whole) <= limit else whole[:limit] if limit <= 3 else whole[: limit - 3] + "...")

@@ -108,6 +108,25 @@ def first_mismatch(left: Column, right: Column) -> Column:
     return F.when(left == right, None).otherwise(F.coalesce(F.get(at, F.lit(0)) - 1, n))
 
 
+def snippet(text: Column, limit: int) -> Column:
+    """The text's start for a preview: everything but printable ASCII as backslash escapes, at most ``limit``
+    characters, of which three dots are the last where something was cut."""
+    short = {"\\": "\\\\", "\t": "\\t", "\n": "\\n", "\r": "\\r"}
+
+    def escaped(c: Column) -> Column:
+        code, out = F.ascii(c), F.when(F.lit(False), c)
+        for raw, mark in short.items():
+            out = out.when(c == raw, F.lit(mark))
+        out = out.when((code >= 32) & (code < 127), c).when(code < 256, F.format_string("\\x%02x", code))
+        return out.when(code < 65536, F.format_string("\\u%04x", code)).otherwise(F.format_string("\\U%08x", code))
+
+    # An escape is one character at least, so what follows the first limit + 1 can't show.
+    places = F.sequence(F.lit(1), F.least(F.length(text), F.lit(limit + 1)))
+    whole = F.when(F.length(text) == 0, "").when(text.isNotNull(), F.array_join(F.transform(places, lambda i: escaped(F.substring(text, i, F.lit(1)))), ""))
+    cut = lambda w: F.substring(w, 1, limit) if limit <= 3 else F.concat(F.substring(w, 1, limit - 3), F.lit("..."))
+    return bound(whole, lambda w: F.when(F.length(w) <= limit, w).otherwise(cut(w)))
+
+
 def highlight(text: Column, spans: Column, palette: list[str], reset: str = "\x1b[0m") -> Column:
     """Terminal colours around disjoint, sorted spans: the palette repeats by the order of the labels."""
     labels = F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"])))

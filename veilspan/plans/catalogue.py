@@ -380,6 +380,53 @@ def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "a string, b string").select("a", "b", T.compare_versions(F.col("a"), F.col("b")).alias("cmp"))
 
 
+@_add("metric_table", "SELECT split_part(metric, '.', 2) AS label, " + ", ".join(f"max(value) FILTER (split_part(metric, '.', -1) = '{m}') AS {m}" for m in ("precision", "recall", "f1", "f2")) + f" FROM ({_metric_sql(True)}) WHERE metric LIKE 'by_class.%' GROUP BY 1")
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.metric_table(span_metrics_typed(spark, sf_dir))
+
+
+_PREFERRED = ["secret", "private_email"]
+
+
+@_add("ordered_labels", _REDACT + "SELECT doc_id, string_agg(label, ',' ORDER BY CASE label WHEN 'secret' THEN 0 WHEN 'private_email' THEN 1 ELSE 2 END, label) AS labels FROM (SELECT DISTINCT doc_id, label FROM kept) GROUP BY doc_id")
+def ordered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.redact(_docs(spark, sf_dir)).where("span_count > 0")
+    return found.select("doc_id", F.array_join(M.ordered_labels(F.transform("detected_spans", lambda s: s["label"]), _PREFERRED), ",").alias("labels"))
+
+
+@_add("window_load", f"WITH {O.TOKENS}, w AS (SELECT doc_id, token_idx // 128 AS k, count(*) AS n FROM tok GROUP BY 1, 2) SELECT doc_id, count(*) AS n_windows, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) * count(*) AS padded_tokens FROM w GROUP BY doc_id")
+def window_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.window_load(token_windows(spark, sf_dir))
+
+
+_CODE = "unicode(c)"
+
+
+@_add(
+    "escaped_snippets",
+    "SELECT doc_id, CASE WHEN length(w) <= 80 THEN w ELSE substring(w, 1, 77) || '...' END AS snippet FROM (SELECT doc_id, coalesce(list_aggregate(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN c = chr(92) THEN '\\\\' "
+    f"WHEN c = chr(9) THEN '\\t' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN {_CODE} BETWEEN 32 AND 126 THEN c WHEN {_CODE} < 256 THEN printf('\\x%02x', {_CODE}) "
+    f"WHEN {_CODE} < 65536 THEN printf('\\u%04x', {_CODE}) ELSE printf('\\U%08x', {_CODE}) END), 'string_agg', ''), '') AS w FROM documents WHERE text IS NOT NULL)",
+)
+def escaped_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.snippet(F.col("text"), 80).alias("snippet"))
+
+
+@_add("unique_ids", "SELECT doc_id, lang FROM documents")
+def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.unique_ids(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+
+
+@_add("weighted_mean", "SELECT CAST(sum((doc_id % 97) * n_chars) AS DOUBLE) / CAST(sum(n_chars) AS DOUBLE) AS mean FROM documents")
+def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.weighted_mean(_docs(spark, sf_dir).select((F.col("doc_id") % 97).alias("loss"), "n_chars"), "loss", "n_chars")
+
+
+@_add("best_epoch", "SELECT doc_id AS epoch, (doc_id * 7 + 3) % 11 AS loss FROM documents ORDER BY 2, 1 LIMIT 1")
+def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.best_epoch(_docs(spark, sf_dir).select(F.col("doc_id").alias("epoch"), ((F.col("doc_id") * 7 + 3) % 11).alias("loss")))
+
+
 @_add("result_json")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.Redactor().results(_docs(spark, sf_dir)).select("doc_id", "result")

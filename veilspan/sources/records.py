@@ -83,6 +83,14 @@ def validated(spans: DataFrame, texts: DataFrame, labels: Sequence[str] | None =
     return rows.withColumn("label", label).drop("_n")
 
 
+def unique_ids(df: DataFrame, key: str = "example_id") -> DataFrame:
+    """``df``, failing the query if a key is null or repeats."""
+    told = F.raise_error(F.concat(F.lit(f"{key} is missing or repeats: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    counted = df.groupBy(key).agg(F.count("*").alias("_n"))
+    checked = counted.select(F.when((F.col("_n") == 1) & F.col(key).isNotNull(), F.col(key)).otherwise(told.cast(df.schema[key].dataType)).alias("_key"))
+    return df.join(checked, df[key] == checked["_key"], "left_semi")
+
+
 def untyped(spans: DataFrame, label: str) -> DataFrame:
     """Every span under one label, the original kept beside it."""
     return spans.withColumn("original_label", F.col("label")).withColumn("label", F.lit(label))
