@@ -338,6 +338,11 @@ def test_toxicity(spark, nothing):
     assert toxicity.keep_clean(df, model).columns == df.columns
     assert toxicity.keep_clean(df, model).where("doc_id < 600").count() == 480
     assert toxicity.score(nothing, model).count() == 0
+    often = df.unionByName(df.where("doc_id = 0").withColumn("text", F.lit(None).cast("string")))
+    for _ in range(3):
+        often = often.unionByName(often.where("doc_id = 0"))
+    again = toxicity.fit(often, lab, F.col("doc_id") % 3 != 2)
+    assert (again.ids, again.values.tolist()) == (model.ids, model.values.tolist())  # an id is one example, however many rows it has
     blank = toxicity.fit(df, lab.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(df, blank).collect()} == {0.0}
 

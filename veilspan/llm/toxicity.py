@@ -11,11 +11,12 @@ reaches the k-th best. Ties go to the example of smaller position. A text withou
 no neighbour; its vote is the toxic share of examples without one.
 
 Every text is scored whole; scoring reads nothing but the text. The index is bounded by its
-parameters, so each task carries it; nothing is shuffled but the labelled rows' ids.
+parameters, so each task carries it; nothing is shuffled but the labelled rows' ids and the examples.
 
-Defined cases: a null or empty text has no term; repeated rows are scored alike; several labels of a
-document count as toxic if one does; null labels are no labels; without labelled rows all scores are
-0; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text has no term; repeated rows are scored alike, and of a labelled
+id's rows the smallest text is the example; several labels of a document count as toxic if one does;
+null labels are no labels; without labelled rows all scores are 0; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 8
         return fit_examples([], **options)
     marked = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    rows = texts.join(F.broadcast(marked), "doc_id").orderBy("doc_id", "text").collect()
+    one = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = one.orderBy("doc_id").collect()  # an id's rows may be any number; one text of each
     return fit_examples([(r["doc_id"], r["text"], int(r["toxic"])) for r in rows], **options)
 
 
