@@ -501,6 +501,23 @@ def test_decontamination(spark, nothing):
     assert decontamination.matches(df, none).count() == 0 and decontamination.drop_contaminated(df, none).count() == len(rows)
 
 
+def test_a_passage_of_a_long_item_is_found(spark):
+    rng = random.Random(31)
+    items = [prose(rng, n, [f"b{k}" for k in range(3000)]) for n in (185, 300, 100, 40)]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        words = item.split()
+        for j, at in enumerate([*range(0, max(1, len(words) - 64), 13), max(0, len(words) - 64)]):
+            rows.append((100 * k + j, f"{prose(rng, 90)} {' '.join(words[at : at + 64])} {prose(rng, 70)}", None, None, None, None, None, None))
+            want.add((100 * k + j, k))
+        rows.append((900 + k, f"{prose(rng, 90)} {item} {prose(rng, 70)}", None, None, None, None, None, None))
+        want.add((900 + k, k))
+        rows.append((1000 + k, prose(rng, 200), None, None, None, None, None, None))
+    df = spark.createDataFrame(rows, DOCS)
+    index = decontamination.build(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, index).collect()} == want
+
+
 def test_svd_is_near_exact(spark):
     rng = random.Random(17)
     lists = [[rng.randrange(50) for _ in range(20)] for _ in range(30)]

@@ -6,8 +6,9 @@ its share of Y'Y and Y'A, never a row - gives ``rank`` latent directions. The se
 into overlapping windows at two lengths, folded into the latent space, and compared by cosine with
 every passage, in blocks of one matrix product; windows with fewer rare benchmark terms than a
 paraphrase of any item would keep are passed over. The decision: a candidate's neighbourhood must share a long common subsequence of words with
-the item, or a shorter one together with the item's answer (its ``answer`` column, else its rarest
-terms), which is what a paraphrase keeps.
+the passage found or with its whole item, or a shorter one together with the answer (the ``answer`` column,
+else the rarest terms of the passage or the item), which is what a paraphrase keeps. Long items become
+overlapping passages of 64 terms that begin at most 32 apart, so 64 words quoted from anywhere in an item hold 48 words of one passage.
 
 Terms are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased, told apart
 by 64-bit hashes. The index's size is bounded: more than ``max_terms`` terms raise. Texts are read
@@ -81,16 +82,23 @@ class Index:
     folding: np.ndarray  # terms x rank
     passages: np.ndarray  # passages x rank, unit rows
     owner: np.ndarray
+    bounds: list[tuple[int, int]]  # each passage's part of its item's terms
+    answers: list[np.ndarray]  # terms that a paraphrase of the passage must keep
     rare: float  # terms of at least this idf are rare: 30 % of every item's, or more
     least_rare: int  # rare terms a window must have to be looked at
 
 
 def _cut(n: int, size: int = 64, least: int = 16) -> list[tuple[int, int]]:
-    """Passages of an item of ``n`` terms; a short rest joins the one before."""
-    at = list(range(0, max(n, 1), size))
-    if len(at) > 1 and n - at[-1] < least:
-        at.pop()
-    return list(zip(at, [*at[1:], n], strict=True))
+    """Passages of an item of ``n`` terms: all of it, or where that is long, pieces of ``size`` that overlap by half or more."""
+    if n < size + least:
+        return [(0, n)]
+    return [(a, a + size) for a in [*range(0, n - size, size // 2), n - size]]
+
+
+def _rarest(place: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` distinct terms (numbers) of highest idf, ties by number."""
+    distinct = np.unique(place)
+    return distinct[np.lexsort((distinct, -idf[distinct]))][:n]
 
 
 def _frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) -> tuple[np.ndarray, int]:
@@ -188,22 +196,21 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 160, max_terms: int
     found, total = _frequencies(docs, vocabulary, text)
     idf = np.log((1 + total) / (1 + np.minimum(found, total))) + 0.05
     told, told_first = _terms(answers)
-    items, passages, owner = [], [], []
+    items, passages, owner, bounds, sure = [], [], [], [], []
     for k, r in enumerate(rows):
         own = hashes[first[k] : first[k + 1]]
         if not len(own):
             continue
         place = np.searchsorted(vocabulary.hashes, own)
         kept = np.unique(told[told_first[k] : told_first[k + 1]])
-        if not len(kept):
-            distinct = np.unique(place)
-            kept = vocabulary.hashes[distinct[np.lexsort((distinct, -idf[distinct]))][:3]]
         for a, b in _cut(len(own)):
             passages.append(place[a:b].tolist())
             owner.append(len(items))
-        items.append(Item(r["item_id"], own, kept))
+            bounds.append((a, b))
+            sure.append(kept if len(kept) else vocabulary.hashes[_rarest(place[a:b], idf, 3)])
+        items.append(Item(r["item_id"], own, kept if len(kept) else vocabulary.hashes[_rarest(place, idf, 3)]))
     if not items:
-        return Index([], vocabulary, idf, np.zeros((len(idf), 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.inf, 1)
+        return Index([], vocabulary, idf, np.zeros((len(idf), 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), [], [], np.inf, 1)
     folding = randomised_svd(spark.createDataFrame([(p,) for p in passages], "terms array<long>").repartition(4), idf, min(rank, len(passages)))
     row, term, weight = _rows(passages, idf)
     latent = np.zeros((len(passages), folding.shape[1]))
@@ -211,7 +218,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 160, max_terms: int
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     rare = min(float(np.sort(idf[p])[-max(1, round(0.3 * len(p)))]) for p in passages)
     least = max(1, int(0.4 * min(int((idf[p] >= rare).sum()) for p in passages)))
-    return Index(items, vocabulary, idf, (folding * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(owner), rare, least)
+    return Index(items, vocabulary, idf, (folding * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(owner), bounds, sure, rare, least)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -264,7 +271,7 @@ def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphras
     for k in range(_STRIDE):  # the k-th known term of every block at once
         have = cut[sizes > k]
         latent[rows[have]] += index.folding[which[have + k]]
-    hits: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    hits: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
     for k in range(0, len(start), 8192):
         a, b = start[k : k + 8192], stop[k : k + 8192]
         total = latent[number[a]]
@@ -274,19 +281,25 @@ def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphras
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
         near = total @ index.passages.T
         for w, p in zip(*np.nonzero(near >= cosine), strict=True):
-            hits.setdefault((int(of[a[w]]), int(index.owner[p])), []).append((-float(near[w, p]), int(a[w]), int(b[w])))
+            hits.setdefault((int(of[a[w]]), int(index.owner[p])), []).append((-float(near[w, p]), int(a[w]), int(b[w]), int(p)))
     for (row, k), windows in sorted(hits.items()):
         item = index.items[k]
-        margin = len(item.terms)
-        for closeness, a, b in sorted(windows):
-            lo = max(int(first[row]), int(first[row]) + (a - int(base[row])) * _STRIDE - margin)
-            hi = min(int(first[row + 1]), int(first[row]) + (b - int(base[row])) * _STRIDE + margin)
-            around = hashes[lo:hi]
-            share = common_subsequence(item.terms, around) / len(item.terms)
-            answered = bool(np.isin(item.answer, around).all())
-            if share >= (lcs if margin >= 8 else 0.9) or (margin >= 8 and share >= paraphrase and answered):
-                yield row, item.item_id, -closeness, share, answered, lo - int(first[row])
-                break
+        for closeness, a, b, p in sorted(windows):
+            whole = (0, len(item.terms))
+            parts = [(index.bounds[p], index.answers[p])] + [(whole, item.answer)] * (index.bounds[p] != whole)
+            for (begin, end), answer in parts:
+                margin = end - begin
+                lo = max(int(first[row]), int(first[row]) + (a - int(base[row])) * _STRIDE - margin)
+                hi = min(int(first[row + 1]), int(first[row]) + (b - int(base[row])) * _STRIDE + margin)
+                around = hashes[lo:hi]
+                share = common_subsequence(item.terms[begin:end], around) / margin
+                answered = bool(np.isin(answer, around).all())
+                if share >= (lcs if margin >= 8 else 0.9) or (margin >= 8 and share >= paraphrase and answered):
+                    yield row, item.item_id, -closeness, share, answered, lo - int(first[row])
+                    break
+            else:
+                continue
+            break
 
 
 def matches(docs: DataFrame, index: Index, cosine: float = 0.65, lcs: float = 0.7, paraphrase: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
