@@ -208,6 +208,27 @@ def test_url_propagation(spark):
     assert seen == {"allow", "block"}
 
 
+def test_url_ranks_settle(spark, tmp_path):
+    from veilspan.llm import queries
+
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    chain = ["bad.net", *(f"h{k}.com" for k in range(1, 13))]
+    rows = [(k, f"http://{h}/", link(chain[k - 1]) if k else "") for k, h in enumerate(chain)]
+    ring = ["good.org", *(f"r{k}.com" for k in range(5))]
+    rows += [(100 + k, f"http://{h}/fr/", link(ring[(k + 1) % 6]) + link(ring[k * k % 6])) for k, h in enumerate(ring)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    verdicts = {r.host: r.verdict for r in queries.op3_url_filters(spark, str(tmp_path)).collect()}
+    assert {verdicts[h] for h in chain} == {"block"} and {verdicts[h] for h in ring} == {"allow"}
+    edges = collections.Counter({(ring[k], ring[j % 6]): 0 for k in range(6) for j in (k + 1, k * k)})
+    for k in range(6):
+        edges[ring[k], ring[(k + 1) % 6]] += 1
+        edges[ring[k], ring[k * k % 6]] += 1
+    want = page_rank(edges, {"good.org": 1.0}, steps=400)
+    for r in url_filters.judge(df, RULES, steps=None).where("page_id >= 100").collect():
+        assert r.trust == pytest.approx(want[r.host], abs=1e-9)
+
+
 # 4 and 8
 
 

@@ -46,7 +46,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("trust", "distrust")
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES, steps=None).drop("trust", "distrust")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

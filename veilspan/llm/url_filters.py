@@ -6,7 +6,10 @@ that no rule fits is blocked if its host's distrust exceeds its trust by more th
 
 The edge list is aggregated by (source host, target host) before anything else; each step is one join
 on the edge's source and one aggregation by its target, both of which combine before they shuffle, and
-AQE splits a hub's edges. Ranks of every second step are cut off by a table in the shared folder.
+AQE splits a hub's edges. Ranks of every second step are cut off by a table in the shared folder. Without a
+number of steps, they go on until two steps change the ranks by less than ``tolerance`` in all (L1) and reach
+no new host. As two steps shrink any change by ``damping`` squared, what is left is then at most 2.7 times the
+tolerance at 0.85, and every host that a seed reaches by any path has a score.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; a host without links or
 seeds has no score and is allowed; repeated rows count as links each; links to the page's own host
@@ -16,6 +19,8 @@ are not read. Equal scores allow.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +61,26 @@ def edges(pages: DataFrame, html: str = "html", host_: str = "host") -> DataFram
     return pages.where(F.col(host_) != "").select(F.col(host_).alias("src"), F.explode(F.transform(raw, target)).alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int = 8) -> DataFrame:
-    """host, score: personalised PageRank along ``links`` (src, dst, weight) from ``seeds`` (host, mass).
-    Mass that reaches a host without links ends there."""
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, steps: int | None = 8, tolerance: float = 1e-10) -> DataFrame:
+    """host, score: personalised PageRank along ``links`` (src, dst, weight) from ``seeds`` (host, mass), of so many
+    ``steps``, or of as many as it takes where that is None. Mass that reaches a host without links ends there."""
+    if not 0 <= damping < 1 or tolerance <= 0:
+        raise ValueError("damping is from 0 to below 1, and the tolerance above 0")
     shares = written(links.join(links.groupBy("src").agg(F.sum("weight").alias("_all")), "src").select("src", "dst", (F.col("weight") / F.col("_all")).alias("share")), "url-shares")
     seeds = written(seeds, "url-seeds")
-    rank = seeds.select("host", F.col("mass").alias("score"))
+    rank = settled = seeds.select("host", F.col("mass").alias("score"))
     start = seeds.select("host", (F.col("mass") * (1 - damping)).alias("score"))
-    for k in range(steps):
+    for k in itertools.count() if steps is None else range(steps):
         moved = shares.join(rank, shares.src == rank.host).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         rank = moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 2 or k == steps - 1:
+        if k % 2 or k + 1 == steps:
             rank = written(rank, "url-rank")
+            if steps is None:
+                both = rank.join(settled.withColumnRenamed("score", "_was"), "host", "left")
+                change = both.agg(F.sum(F.abs(F.col("score") - F.coalesce("_was", F.lit(0.0)))).alias("l1"), F.count_if(F.isnull("_was")).alias("new")).first()
+                if not change["new"] and (change["l1"] or 0.0) < tolerance:
+                    return rank
+                settled = rank
     return rank
 
 
@@ -78,8 +91,9 @@ def _seeds(hosts: DataFrame, column: str) -> DataFrame:
     return some.select("host", (F.col("mass") / F.lit(float(total))).alias("mass"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, steps: int = 8, threshold: float = 0.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of every url."""
+def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", html: str = "html", damping: float = 0.85, steps: int | None = 8, threshold: float = 0.0, tolerance: float = 1e-10) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of every url. ``steps`` None goes on until the ranks
+    have settled; a number stops there, with up to ``damping`` to that power of the mass not settled."""
     kinds = {rule: kind for kind, rule in rules}
     base = pages.select(pages[page_id].alias("page_id"), host(pages[url]).alias("host"), path(pages[url]).alias("path"))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -93,8 +107,8 @@ def judge(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: st
     per_host = written(per_host, "url-hosts")
     links = written(edges(pages.select(host(pages[url]).alias("host"), pages[html].alias("html"))), "url-edges")
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(links, _seeds(per_host, "allowed"), damping, steps).withColumnRenamed("score", "trust")
-    distrust = propagate(back, _seeds(per_host, "blocked"), damping, steps).withColumnRenamed("score", "distrust")
+    trust = propagate(links, _seeds(per_host, "allowed"), damping, steps, tolerance).withColumnRenamed("score", "trust")
+    distrust = propagate(back, _seeds(per_host, "blocked"), damping, steps, tolerance).withColumnRenamed("score", "distrust")
     scores = written(
         per_host.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")),
         "url-scores",
