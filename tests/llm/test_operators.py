@@ -539,6 +539,17 @@ def test_a_passage_of_a_long_item_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, index).collect()} == want
 
 
+def test_verbatim_items_do_not_depend_on_the_rank(spark):
+    rng = random.Random(37)
+    items = [prose(rng, rng.randrange(15, 60), [f"b{k}" for k in range(3000)]) for _ in range(60)]
+    rows = [(k, f"{prose(rng, 90)} {item} {prose(rng, 70)}", None, None, None, None, None, None) for k, item in enumerate(items)]
+    rows += [(100 + k, f"{prose(rng, 250)} {item}", None, None, None, None, None, None) for k, item in enumerate(items)]
+    df = spark.createDataFrame(rows, DOCS)
+    index = decontamination.build(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), rank=2)
+    found = decontamination.matches(df, index).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(r[0], r[0] % 100) for r in rows} and all(0 < r.cosine <= 1.0001 for r in found)
+
+
 def test_svd_is_near_exact(spark):
     rng = random.Random(17)
     lists = [[rng.randrange(50) for _ in range(20)] for _ in range(30)]

@@ -5,7 +5,9 @@ The index: benchmark items become passages, passages become TF-IDF rows over the
 its share of Y'Y and Y'A, never a row - gives ``rank`` latent directions. The search: all texts are cut
 into overlapping windows at two lengths, folded into the latent space, and compared by cosine with
 every passage, in blocks of one matrix product; windows with fewer rare benchmark terms than a
-paraphrase of any item would keep are passed over. The decision: a candidate's neighbourhood must share a long common subsequence of words with
+paraphrase of any item would keep are passed over. As ``rank`` directions don't hold every passage of a
+large benchmark, a passage is also looked up exactly, whatever the rank: where two thirds of its six
+rarest terms lie within its length, the place is a candidate too. The decision: a candidate's neighbourhood must share a long common subsequence of words with
 the passage found or with its whole item, or a shorter one together with the answer (the ``answer`` column,
 else the rarest terms of the passage or the item), which is what a paraphrase keeps. Long items become
 overlapping passages of 64 terms that begin at most 32 apart, so 64 words quoted from anywhere in an item hold 48 words of one passage.
@@ -35,6 +37,8 @@ from veilspan.llm.store import small_batches, trim
 MATCHES = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean, start_word long"
 _STRIDE = 16
 _LENGTHS = (2, 4)  # windows of 32 and 64 words
+_ANCHORS = 6  # rarest terms by which a passage is looked up
+_REACH = 80  # no passage is longer: pairs of such stretches hold any
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +88,10 @@ class Index:
     owner: np.ndarray
     bounds: list[tuple[int, int]]  # each passage's part of its item's terms
     answers: list[np.ndarray]  # terms that a paraphrase of the passage must keep
+    anchor_first: np.ndarray  # by term: its part of the next two
+    anchor_of: np.ndarray  # passage
+    anchor_slot: np.ndarray  # which of the passage's rarest terms
+    needed: np.ndarray  # by passage: how many of them a candidate has
     rare: float  # terms of at least this idf are rare: 30 % of every item's, or more
     least_rare: int  # rare terms a window must have to be looked at
 
@@ -210,7 +218,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 160, max_terms: int
             sure.append(kept if len(kept) else vocabulary.hashes[_rarest(place[a:b], idf, 3)])
         items.append(Item(r["item_id"], own, kept if len(kept) else vocabulary.hashes[_rarest(place, idf, 3)]))
     if not items:
-        return Index([], vocabulary, idf, np.zeros((len(idf), 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), [], [], np.inf, 1)
+        return Index([], vocabulary, idf, np.zeros((len(idf), 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), [], [], np.zeros(len(idf) + 1, np.int64), *[np.zeros(0, np.int64)] * 3, np.inf, 1)
     folding = randomised_svd(spark.createDataFrame([(p,) for p in passages], "terms array<long>").repartition(4), idf, min(rank, len(passages)))
     row, term, weight = _rows(passages, idf)
     latent = np.zeros((len(passages), folding.shape[1]))
@@ -218,7 +226,13 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 160, max_terms: int
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     rare = min(float(np.sort(idf[p])[-max(1, round(0.3 * len(p)))]) for p in passages)
     least = max(1, int(0.4 * min(int((idf[p] >= rare).sum()) for p in passages)))
-    return Index(items, vocabulary, idf, (folding * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(owner), bounds, sure, rare, least)
+    anchors = [_rarest(np.array(p), idf, _ANCHORS) for p in passages]
+    term, of = np.concatenate(anchors), np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
+    slot = np.concatenate([np.arange(len(x)) for x in anchors])
+    order = np.argsort(term, kind="stable")
+    anchor_first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+    needed = np.array([-(-2 * len(x) // 3) for x in anchors])
+    return Index(items, vocabulary, idf, (folding * idf[:, None]).astype(np.float32), latent.astype(np.float32), np.array(owner), bounds, sure, anchor_first, of[order], slot[order], needed, rare, least)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -235,16 +249,40 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - bin(row).count("1")
 
 
-def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphrase: float) -> Iterator[tuple]:
-    """(row, item, cosine, lcs share, answer found, start) of every match in a batch of texts."""
-    hashes, first = _terms(column)
-    counts = np.diff(first)
-    at, term = index.vocabulary.place(hashes)
-    if not len(at) or not len(index.items):
-        return
-    per = -(-counts // _STRIDE)
+def _exact(index: Index, at: np.ndarray, term: np.ndarray, first: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, passage, first, last position in the text) wherever enough of a passage's rarest terms lie in two stretches side by side."""
+    count = index.anchor_first[term + 1] - index.anchor_first[term]
+    use = np.flatnonzero(count)
+    count = count[use]
+    place = np.repeat(use, count)
+    entry = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(index.anchor_first[term[use]], count)
+    stretches = np.diff(first) // _REACH + 1
+    base = np.cumsum(stretches) - stretches
+    within = at[place] - first[doc[place]]
+    stretch = base[doc[place]] + within // _REACH
+    n = len(index.needed)
+    back = np.flatnonzero(within >= _REACH)
+    pair = np.concatenate([stretch * n, (stretch[back] - 1) * n]) + index.anchor_of[np.concatenate([entry, entry[back]])]
+    slot, where = index.anchor_slot[np.concatenate([entry, entry[back]])], np.concatenate([within, within[back]])
+    pairs, found = np.unique(np.unique(pair * _ANCHORS + slot) // _ANCHORS, return_counts=True)
+    pairs = pairs[found >= index.needed[pairs % n]]
+    keep = np.flatnonzero(np.isin(pair, pairs))
+    keep = keep[np.lexsort((where[keep], pair[keep]))]
+    lo, hi = np.searchsorted(pair[keep], pairs), np.searchsorted(pair[keep], pairs, side="right") - 1
+    row = np.searchsorted(base, pairs // n, side="right") - 1
+    yield from zip(row.tolist(), (pairs % n).tolist(), where[keep[lo]].tolist(), where[keep[hi]].tolist(), strict=True)
+
+
+def _cosine(index: Index, a: np.ndarray, b: np.ndarray) -> float:
+    """TF-IDF cosine of two lists of hashes, over the benchmark's terms."""
+    x, y = (np.bincount(index.vocabulary.place(h)[1], minlength=len(index.idf)) * index.idf for h in (a, b))
+    return float(x @ y / max(np.linalg.norm(x) * np.linalg.norm(y), 1e-12))
+
+
+def _near(index: Index, at: np.ndarray, term: np.ndarray, first: np.ndarray, doc: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(row, passage, first, last position in the text, cosine) of every window near a passage in the latent space."""
+    per = -(-np.diff(first) // _STRIDE)
     base = np.concatenate([[0], np.cumsum(per)])
-    doc = np.searchsorted(first, at, side="right") - 1
     block = base[doc] + (at - first[doc]) // _STRIDE
     n = int(base[-1])
     rare = np.concatenate([[0], np.cumsum(np.bincount(block[index.idf[term] >= index.rare], minlength=n))])
@@ -271,7 +309,6 @@ def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphras
     for k in range(_STRIDE):  # the k-th known term of every block at once
         have = cut[sizes > k]
         latent[rows[have]] += index.folding[which[have + k]]
-    hits: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
     for k in range(0, len(start), 8192):
         a, b = start[k : k + 8192], stop[k : k + 8192]
         total = latent[number[a]]
@@ -281,7 +318,22 @@ def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphras
         total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
         near = total @ index.passages.T
         for w, p in zip(*np.nonzero(near >= cosine), strict=True):
-            hits.setdefault((int(of[a[w]]), int(index.owner[p])), []).append((-float(near[w, p]), int(a[w]), int(b[w]), int(p)))
+            row = int(of[a[w]])
+            yield row, int(p), (int(a[w]) - int(base[row])) * _STRIDE, (int(b[w]) - int(base[row])) * _STRIDE, float(near[w, p])
+
+
+def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphrase: float) -> Iterator[tuple]:
+    """(row, item, cosine, lcs share, answer found, start) of every match in a batch of texts."""
+    hashes, first = _terms(column)
+    at, term = index.vocabulary.place(hashes)
+    if not len(at) or not len(index.items):
+        return
+    doc = np.searchsorted(first, at, side="right") - 1
+    hits: dict[tuple[int, int], list[tuple[float, int, int, int]]] = {}
+    for row, p, a, b, near in _near(index, at, term, first, doc, cosine):
+        hits.setdefault((row, int(index.owner[p])), []).append((-near, a, b, p))
+    for row, p, a, b in _exact(index, at, term, first, doc):
+        hits.setdefault((row, int(index.owner[p])), []).append((0.0, a, b, p))
     for (row, k), windows in sorted(hits.items()):
         item = index.items[k]
         for closeness, a, b, p in sorted(windows):
@@ -289,13 +341,13 @@ def _search(index: Index, column: pa.Array, cosine: float, lcs: float, paraphras
             parts = [(index.bounds[p], index.answers[p])] + [(whole, item.answer)] * (index.bounds[p] != whole)
             for (begin, end), answer in parts:
                 margin = end - begin
-                lo = max(int(first[row]), int(first[row]) + (a - int(base[row])) * _STRIDE - margin)
-                hi = min(int(first[row + 1]), int(first[row]) + (b - int(base[row])) * _STRIDE + margin)
+                lo = max(int(first[row]), int(first[row]) + a - margin)
+                hi = min(int(first[row + 1]), int(first[row]) + b + margin)
                 around = hashes[lo:hi]
                 share = common_subsequence(item.terms[begin:end], around) / margin
                 answered = bool(np.isin(answer, around).all())
                 if share >= (lcs if margin >= 8 else 0.9) or (margin >= 8 and share >= paraphrase and answered):
-                    yield row, item.item_id, -closeness, share, answered, lo - int(first[row])
+                    yield row, item.item_id, -closeness or _cosine(index, item.terms[begin:end], around), share, answered, lo - int(first[row])
                     break
             else:
                 continue
