@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import labels as L
@@ -337,11 +337,57 @@ def topk_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir).select("doc_id", "token_idx", F.posexplode(best).alias("p", "k")).select("doc_id", "token_idx", (F.col("p") + 1).cast("long").alias("rank"), "k.label_id", "k.logprob")
 
 
+#: Synthetic scores of every real token of whole texts, from document, place, length and class; windows of 128
+#: tokens begin every 64, so each token past the first 64 is in two. The three queries above keep the eight tokens of their SQL.
+_STEP = 64
+
+
+def _text_seed(t: Column, token: Column, back: int = 0) -> Column:
+    return F.col("doc_id") * 31 + t * t * 17 + (F.floor(t / _STEP).cast("long") - back) * 5 + F.length(token).cast("long") * 3
+
+
+def _text_values(seed: Column, t: Column) -> Column:
+    return F.array(*[(F.pmod(seed + (t + 1) * (c + 1) * 7, F.lit(101)) / 16.0).cast("double") for c in range(5)])
+
+
+def _text_scores(spark: SparkSession, sf_dir: str, back: int = 0) -> DataFrame:
+    """doc_id, token_idx, logprobs of the last window that holds the token, or of the one ``back`` before it."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(K.TOKEN), F.lit(0))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(found).alias("p", "token")).select("doc_id", F.col("p").cast("long").alias("token_idx"), "token")
+    return rows.where(F.col("token_idx") >= back * _STEP).select("doc_id", "token_idx", D.log_softmax(_text_values(_text_seed(F.col("token_idx"), F.col("token"), back), F.col("token_idx"))).alias("logprobs"))
+
+
+_TEXT_SCORES_SQL = (
+    f"WITH {O.TOKENS}, x AS (SELECT doc_id, token_idx, c, w, CAST((doc_id * 31 + token_idx * token_idx * 17 + (token_idx + 1) * (c + 1) * 7 + w * 5 + length(token) * 3) % 101 AS DOUBLE) / 16.0 AS v "
+    f"FROM (SELECT doc_id, token_idx, token, token_idx // {_STEP} - b AS w, b FROM tok, unnest(range(0, 2)) AS d(b)), unnest(range(0, 5)) AS e(c) WHERE w >= 0), "
+    f"l AS (SELECT doc_id, token_idx, c AS class_id, w, v, v - ln(sum(exp(v)) OVER (PARTITION BY doc_id, token_idx, w)) AS lp FROM x), own AS (SELECT * FROM l WHERE w = token_idx // {_STEP}) "
+)
+
+
+@_add("overlap_window_merge_texts", f"{_TEXT_SCORES_SQL} SELECT doc_id, token_idx, CAST(class_id AS BIGINT) AS class_id, count(*) AS n_windows, round(ln(sum(exp(lp))) - ln(count(*)), 6) AS logprob FROM l GROUP BY 1, 2, 3")
+def overlap_window_merge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _text_scores(spark, sf_dir).unionByName(_text_scores(spark, sf_dir, 1))
+    return D.merge_windows(both, ["doc_id", "token_idx"]).select("doc_id", "token_idx", F.col("class_id").cast("long").alias("class_id"), "n_windows", F.round("logprob", 6).alias("logprob"))
+
+
+@_add("argmax_decode_texts", f"{_TEXT_SCORES_SQL} SELECT doc_id, token_idx, CAST(min(class_id) AS BIGINT) AS label_id FROM (SELECT *, v = max(v) OVER (PARTITION BY doc_id, token_idx) AS best FROM own) WHERE best GROUP BY 1, 2")
+def argmax_decode_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scores(spark, sf_dir).select("doc_id", "token_idx", D.argmax(F.col("logprobs")).alias("label_id"))
+
+
+@_add("topk_logprobs_texts", f"{_TEXT_SCORES_SQL} SELECT doc_id, token_idx, rank, label_id, logprob FROM (SELECT doc_id, token_idx, CAST(class_id AS BIGINT) AS label_id, round(lp, 6) AS logprob, row_number() OVER (PARTITION BY doc_id, token_idx ORDER BY round(lp, 6) DESC, class_id) AS rank FROM own) WHERE rank <= 3")
+def topk_logprobs_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = D.top_k(F.transform("logprobs", lambda x: F.round(x, 6)), 3)
+    return _text_scores(spark, sf_dir).select("doc_id", "token_idx", F.posexplode(best).alias("p", "k")).select("doc_id", "token_idx", (F.col("p") + 1).cast("long").alias("rank"), "k.label_id", "k.logprob")
+
+
 @_add("viterbi_decode")
 def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scores(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token_idx", "logprobs"))).alias("r"))
-    rows = rows.select("doc_id", F.transform("r", lambda x: x["logprobs"]).alias("scores"))
-    decoded = D.viterbi(rows, _SPACE5, D.Biases(transition_bias_background_stay=0.25))
+    """Every token of whole texts, whose scores are built within the row: nothing is shuffled."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(K.TOKEN), F.lit(0))
+    seeds = F.transform(found, lambda token, p: _text_seed(p.cast("long"), token))
+    rows = _docs(spark, sf_dir).select("doc_id", F.transform(seeds, lambda seed, p: _text_values(seed, p.cast("long"))).alias("scores"))
+    decoded = D.viterbi(rows, _SPACE5, D.Biases(transition_bias_background_stay=0.25), logits=True)
     return decoded.select("doc_id", F.posexplode("labels").alias("token_idx", "label_id")).select("doc_id", F.col("token_idx").cast("long"), F.col("label_id").cast("long"))
 
 
