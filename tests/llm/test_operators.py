@@ -367,6 +367,15 @@ def test_toxicity(spark, nothing):
     blank = toxicity.fit(df, lab.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(df, blank).collect()} == {0.0}
 
+def test_toxicity_frequencies_are_of_all_documents(spark):
+    rows = [(k, "vile words here" if k % 2 else "kind words here") for k in range(80)]
+    rows += [(100 + k, "Vile vile, of no label" if k < 30 else None) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab, F.lit(True))
+    assert {w: model.idf[t] for w, t in model.term.items()} == pytest.approx({"vile": math.log(131 / 71) + 1, "kind": math.log(131 / 41) + 1})
+
+
 
 # 6
 

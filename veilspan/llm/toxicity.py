@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 A bounded, documented sample of the labelled rows (``max_examples``, those of smallest hash) is the
-example set. Its chi-square statistics choose the terms; texts become TF-IDF vectors over those; the
+example set. Its chi-square statistics choose the terms (``min_chi2`` at least, ``max_terms`` at most); texts become
+TF-IDF vectors over those, with document frequencies from all documents; the
 ``k`` examples of highest cosine vote with their similarity as weight, and leave-one-out votes of the
 examples, made monotone by pooling, turn votes into probabilities.
 
@@ -11,7 +12,8 @@ reaches the k-th best. Ties go to the example of smaller position. A text withou
 no neighbour; its vote is the toxic share of examples without one.
 
 Every text is scored whole; scoring reads nothing but the text. The index is bounded by its
-parameters, so each task carries it; nothing is shuffled but the labelled rows' ids and the examples.
+parameters, so each task carries it; nothing is shuffled but the labelled rows' ids, the examples, and one
+count per task and chosen term.
 
 Defined cases: a null or empty text has no term; repeated rows are scored alike, and of a labelled
 id's rows the smallest text is the example; several labels of a document count as toxic if one does;
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,8 +129,9 @@ def _monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, np.concatenate([np.full(int(n), v) for v, _, n in pool])
 
 
-def fit_examples(examples: list[tuple[int | None, str | None, int]], k: int = 15, max_terms: int = 256, min_chi2: float = 30.0, block: int = 64) -> Model:
-    """Choose terms, index the examples, and calibrate on their leave-one-out votes."""
+def fit_examples(examples: list[tuple[int | None, str | None, int]], k: int = 15, max_terms: int = 256, min_chi2: float = 30.0, block: int = 64, frequencies: Callable[[list[str]], tuple[np.ndarray, int]] | None = None) -> Model:
+    """Choose terms, index the examples, and calibrate on their leave-one-out votes. ``frequencies``: in how many
+    documents each of the chosen terms occurs, and of how many; else the examples' own."""
     toxic = np.array([y for _, _, y in examples], dtype=float)
     n, positive = len(examples), float(toxic.sum())
     seen, hits = Counter(), Counter()
@@ -150,7 +153,8 @@ def fit_examples(examples: list[tuple[int | None, str | None, int]], k: int = 15
     scored.sort()
     chosen = scored[:max_terms]
     term = {w: t for t, (_, w, _) in enumerate(chosen)}
-    idf = np.array([np.log((1 + n) / (1 + df)) + 1 for _, _, df in chosen])
+    counts, total = frequencies(list(term)) if frequencies and term else (np.array([df for _, _, df in chosen]), n)
+    idf = np.log((1 + total) / (1 + counts)) + 1
     model = Model(term, idf, [i for i, _, _ in examples], toxic, BlockMaxIndex([], 0), k, 0.0, np.zeros(0), np.zeros(0))
     rows = [model.vector(text) for _, text, _ in examples]
     model.index = BlockMaxIndex(rows, len(term), block)
@@ -172,6 +176,26 @@ def fit_examples(examples: list[tuple[int | None, str | None, int]], k: int = 15
     return model
 
 
+def document_frequencies(docs: DataFrame, chosen: list[str], text: str = "text") -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each of the chosen terms occurs, and how many rows there are."""
+    place = {w: t for t, w in enumerate(chosen)}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = np.zeros(len(place) + 1, np.int64), 0
+        for batch in batches:
+            total += batch.num_rows
+            for t in batch.column(0):
+                found[[place[w] for w in place.keys() & set(terms(t.as_py()))]] += 1
+        found[-1] = total
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], names=["term", "n"])
+
+    rows = small_batches(docs).select(docs[text].cast("string").alias("text")).mapInArrow(task, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(place) + 1, np.int64)
+    for r in rows:  # one per chosen term, and the total
+        out[r["term"]] = r["n"]
+    return out[:-1], int(out[-1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 8192, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> Model:
     """``learn``: over ``doc_id``, which labelled documents may be learnt from. The example set is the
     ``max_examples`` of them with the smallest hash of their id."""
@@ -185,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_examples: int = 8
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     one = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows = one.orderBy("doc_id").collect()  # an id's rows may be any number; one text of each
-    return fit_examples([(r["doc_id"], r["text"], int(r["toxic"])) for r in rows], **options)
+    return fit_examples([(r["doc_id"], r["text"], int(r["toxic"])) for r in rows], frequencies=lambda chosen: document_frequencies(docs, chosen, text), **options)
 
 
 def score(docs: DataFrame, model: Model, evidence: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
