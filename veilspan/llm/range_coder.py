@@ -1,14 +1,21 @@
 """An adaptive context-mixing range coder for 16-bit token ids.
 
-Ids are cut into blocks; every block starts from an empty model, has its own coded bytes and a crc32,
-and can be decoded alone. Three predictors each name one id: order 2 (by the two ids before), order 1
-(by the one before) and order 0 (the block's majority id). Binary events "it is the one named" are
-coded in that order with a probability mixed from a counter of the predictors' confidence and the
-event's overall rate; the mixing weight follows whichever was nearer. An id that nobody named is
-coded by its size class (two mixed binary events, in the context of the class before) and the bytes
-left, which go to the block's side stream as they are.
-
-Blocks are coded side by side, one numpy lane each, so the per-id cost is a few vector operations.
+Ids are cut into blocks; every block starts from an empty model, has its own coded words and a crc32,
+and can be decoded alone. An id's probability mixes three predictions:
+
+* order 2: the id that followed the two ids before, found by a hash of them;
+* order 1: the id that followed the id before;
+* order 0: the frequencies of all ids so far, halved from time to time, with one count for each id unseen.
+
+The first two put their weight on one id each and know how often it came true in a row; how much weight
+each order gets is learned within the block, for every pair of these confidences, from how often each
+order was right there. The mixed distribution is what the arithmetic coder uses: every id is one step of it,
+and nothing is stored beside the coded words.
+
+A block is dealt to lanes, runs of neighbouring ids that are coded side by side with one numpy operation
+for all; the lanes share the block's model, which learns from all of them after every step. Coder words
+stand in the order in which the decoder asks for them; zeros at the end are left out. An id that a higher order names is
+always coded as named, so order 0's share of it is lost: below a hundredth of the size on texts.
 """
 
 from __future__ import annotations
@@ -19,203 +26,238 @@ import zlib
 import numpy as np
 
 MAGIC = b"VSRC"
-VERSION = 1
-_HEAD = struct.Struct("<4sBII")
-_H1, _H2 = 9, 9  # bits of the context tables: a block has 1,024 ids
-_BASE = np.array([0, 256, 2048, 8192], dtype=np.int32)  # first id of each size class
-_MASK = 0xFFFFFFFF
-
-
-class _Event:
-    """Adaptive probabilities of one kind of binary event in all lanes."""
-
-    def __init__(self, lanes: int, contexts: int):
-        self.contexts = contexts
-        self.fine = np.full(lanes * contexts, 1 << 15, dtype=np.int32)
-        self.rate = np.full(lanes, 1 << 15, dtype=np.int32)
-        self.weight = np.full(lanes, 32, dtype=np.int32)
-
-    def probability(self, lane: np.ndarray, context: np.ndarray) -> tuple:
-        at = lane * self.contexts + context
-        fine, rate, weight = self.fine[at], self.rate[lane], self.weight[lane]
-        p = (weight * (fine - rate) >> 6) + rate
-        np.maximum(p, 96, out=p)
-        np.minimum(p, 65536 - 96, out=p)
-        return p, (lane, at, fine, rate, weight)
-
-    def learn(self, kept: tuple, bit: np.ndarray) -> None:
-        lane, at, fine, rate, weight = kept
-        one = bit * np.int32(65535)
-        self.fine[at] = fine + ((one - fine) >> 4)
-        self.rate[lane] = rate + ((one - rate) >> 6)
-        nearer = ((fine > rate) == bit).view(np.int8)
-        self.weight[lane] = np.minimum(np.maximum(weight + (2 * nearer - 1), 1), 63)
-
-
-class _Coder:
-    """Binary arithmetic coding in all lanes; decodes if it is given coded bytes."""
-
-    def __init__(self, lanes: int, room: int, coded: np.ndarray | None = None, first: np.ndarray | None = None):
-        self.low = np.zeros(lanes, dtype=np.int64)
-        self.high = np.full(lanes, _MASK, dtype=np.int64)
-        self.coded = coded
-        if coded is None:
-            self.room = room
-            self.out = np.zeros(lanes * room, dtype=np.uint8)
-            self.at = np.arange(lanes, dtype=np.int64) * room
+VERSION = 2
+_HEAD = struct.Struct("<4sBII")  # magic, version, ids in a block, blocks
+_LANES, _STEPS = 12_288, 64  # lanes at most; ids in a lane at least, where the block allows it
+_HASH = 18  # bits of the order-2 table
+_CERTAIN = 7  # the highest confidence, 3 bits
+_SEEN = 32  # counts that one occurrence adds
+_FULL = 1 << 21  # counts are halved beyond this total
+_SURE = 7  # an order's weight is at most 2 ** _SURE that of order 0
+_AGED = 1 << 16
+_WORD, _WINDOW = 16, 48
+_LOW = (1 << _WINDOW - _WORD) - 1
+_BUCKETS = 14  # bits of the decoder's table from counts to ids
+
+
+class _Orders:
+    """What the lanes of a block have learned so far."""
+
+    def __init__(self, top: int, lanes: int):
+        self.top = top
+        self.counts = np.ones(top, dtype=np.int64)
+        self.last = np.zeros(1 << 16, dtype=np.int32)  # id << 3 | confidence
+        self.last2 = np.zeros(1 << _HASH, dtype=np.int32)
+        self.right = np.ones((2 << 6, 3), dtype=np.int64)  # by confidences: order 0, 1, 2 had the id
+        self.right[:, 0] = 4
+        self.prev = np.zeros(lanes, dtype=np.int32)
+        self.older = np.zeros(lanes, dtype=np.int32)
+        self.news: list[np.ndarray] = []
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Take the ids since the last call into order 0."""
+        if self.news:
+            self.counts += np.bincount(np.concatenate(self.news), minlength=self.top) * _SEEN
+            self.news = []
+        while self.counts.sum() > _FULL:
+            self.counts = (self.counts + 1) >> 1
+        self.ends = np.cumsum(self.counts)
+        self.begins = self.ends - self.counts
+        self.total = int(self.ends[-1])
+        self.shift = max(0, self.total.bit_length() - _BUCKETS)
+        self.inverse: np.ndarray | None = None
+        self.weigh()
+
+    def weigh(self) -> None:
+        """The orders' shares, in counts of order 0."""
+        zero, most = self.right[:, 0], self.total << _SURE
+        self.mass1 = np.clip(self.total * self.right[:, 1] // zero, 1, most)
+        self.mass2 = np.clip(self.total * self.right[:, 2] // zero, 1, most)
+        self.edge = self.total + self.mass2
+        self.all = self.edge + self.mass1
+
+    def predict(self, n: int) -> None:
+        """For the first ``n`` lanes: both named ids and the context of their confidences."""
+        if n < len(self.prev):
+            self.prev, self.older = self.prev[:n], self.older[:n]
+        self.at2 = ((self.prev * np.int32(0x3A4B) ^ self.older * np.int32(0x6C8E9CF5)) * np.int32(0x5851F42D)) >> 7 & (1 << _HASH) - 1
+        self.s1, self.s2 = self.last[self.prev], self.last2[self.at2]
+        self.c1, self.c2 = self.s1 >> 3, self.s2 >> 3
+        context = (self.s2 & 7) << 3 | self.s1 & 7
+        context += (self.c1 == self.c2).view(np.int8) << np.int32(6)
+        self.context = context
+
+    def find(self, counts: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 counts hold ``counts``."""
+        if self.inverse is None:
+            first = (np.append(self.begins, self.total) + (1 << self.shift) - 1) >> self.shift
+            self.inverse = np.repeat(np.arange(self.top), np.diff(first))
+        ids = self.inverse[counts >> self.shift]
+        off = np.flatnonzero(counts >= self.ends[ids])
+        ids[off] = np.searchsorted(self.ends, counts[off], side="right")
+        return ids
+
+    def learn(self, now: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, step: int) -> None:
+        fresh = now << 3
+        for table, at, s, hit in ((self.last, self.prev, self.s1, now == self.c1), (self.last2, self.at2, self.s2, hit2)):
+            sure = s & 7
+            table[at] = np.where(hit, s + (sure < _CERTAIN), np.where(sure > 0, s - 1, fresh))
+        self.right += np.bincount(self.context * 3 + (hit1 + 2 * hit2.view(np.int8)), minlength=self.right.size).reshape(self.right.shape)
+        old = self.right.sum(axis=1) > _AGED
+        if old.any():
+            self.right[old] = (self.right[old] + 1) >> 1
+        self.older, self.prev = self.prev, now
+        self.news.append(now)
+        if step < 32 or step & 3 == 3:
+            self.refresh()
         else:
-            self.at = first.astype(np.int64)
-            self.code = np.zeros(lanes, dtype=np.int64)
-            for _ in range(4):
-                self.code = (self.code << 8) | coded[self.at]
-                self.at += 1
-
-    def bit(self, lane: np.ndarray, p: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
-        low, high = self.low[lane], self.high[lane]
-        middle = low + (((high - low) * p) >> 16)
-        bit = truth if self.coded is None else self.code[lane] <= middle
-        low, high = np.where(bit, low, middle + 1), np.where(bit, middle, high)
-        move = np.flatnonzero((low ^ high) < (1 << 24))
-        while len(move):
-            w = lane[move]
-            if self.coded is None:
-                self.out[self.at[w]] = low[move] >> 24
-            else:
-                self.code[w] = ((self.code[w] << 8) & _MASK) | self.coded[self.at[w]]
-            self.at[w] += 1
-            low[move] = (low[move] << 8) & _MASK
-            high[move] = ((high[move] << 8) & _MASK) | 255
-            move = move[(low[move] ^ high[move]) < (1 << 24)]
-        self.low[lane], self.high[lane] = low, high
-        return bit
-
-
-def _run(lengths: np.ndarray, coder: _Coder, ids: np.ndarray | None, side: np.ndarray, side_at: np.ndarray) -> np.ndarray:
-    """Code (``ids`` given, step by lane) or decode all blocks. ``lengths`` must not increase."""
-    lanes, steps = len(lengths), int(lengths[0]) if len(lengths) else 0
-    encode = ids is not None
-    out = ids if encode else np.zeros((steps, lanes), dtype=np.int32)
-    every = np.arange(lanes, dtype=np.int64)
-    t1, t2 = np.zeros(lanes << _H1, dtype=np.int32), np.zeros(lanes << _H2, dtype=np.int32)  # id << 2 | confidence
-    zero, votes = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-    e2, e1, e0, size = _Event(lanes, 16), _Event(lanes, 16), _Event(lanes, 4), _Event(lanes, 12)
-    prev, older, kind = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
-
-    def event(e: _Event, lane: np.ndarray, context: np.ndarray, truth: np.ndarray | None) -> np.ndarray:
-        p, kept = e.probability(lane, context)
-        bit = coder.bit(lane, p, truth)
-        e.learn(kept, bit)
-        return bit
-
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # lanes with more than t ids
+            self.weigh()
+
+
+def _deal(n: int) -> tuple[int, np.ndarray]:
+    """Steps, and where each lane's ids begin and end: lanes of equal length, the first ones longer by one at most."""
+    lanes = max(1, min(_LANES, n // _STEPS))
+    bounds = np.arange(lanes + 1) * (n // lanes) + np.minimum(np.arange(lanes + 1), n % lanes)
+    return -(-n // lanes), bounds
+
+
+def _encode_block(ids: np.ndarray) -> tuple[int, bytes]:
+    """The number above all ids, and the coded words."""
+    top = int(ids.max()) + 1
+    steps, bounds = _deal(len(ids))
+    lengths, lanes = np.diff(bounds), len(bounds) - 1
+    grid = np.zeros((steps, lanes), dtype=np.int32)
+    body = steps - (len(ids) % lanes > 0)
+    whole = bounds[:-1, None] + np.arange(body)
+    grid[:body] = ids[whole].T
+    if body < steps:
+        grid[body, : len(ids) % lanes] = ids[bounds[1 : len(ids) % lanes + 1] - 1]
+    model = _Orders(top, lanes)
+    low, width = np.zeros(lanes, dtype=np.int64), np.full(lanes, 1 << _WINDOW, dtype=np.int64)
+    digits, owners = [], []
+    for t in range(steps):
+        n = lanes if t < body else int((lengths > t).sum())
+        now = grid[t, :n]
+        model.predict(n)
+        hit2 = now == model.c2
+        hit1 = (now == model.c1) & ~hit2
+        begin, count = model.begins[now], model.counts[now]
+        for hit, at, mass in ((hit1, model.edge, model.mass1), (hit2, None, model.mass2)):
+            k = np.flatnonzero(hit)
+            begin[k] = model.total if at is None else at[model.context[k]]
+            count[k] = mass[model.context[k]]
+        unit = width[:n] // model.all[model.context]
+        low[:n] += unit * begin
+        width[:n] = unit * count
+        k = np.flatnonzero(width[:n] <= _LOW)
+        while len(k):
+            full = low[k]
+            digits.append(full >> _WINDOW - _WORD)
+            owners.append(k)
+            low[k] = (full & _LOW) << _WORD
+            width[k] <<= _WORD
+            k = k[width[k] <= _LOW]
+        model.learn(now, hit2, hit1, t)
+    events = sum(map(len, owners))
+    low = (low + _LOW) & ~_LOW  # still within the width, which is above _LOW: the words after the next one are zeros
+    for _ in range(_WINDOW // _WORD):
+        digits.append(low >> _WINDOW - _WORD)
+        owners.append(np.arange(lanes))
+        low = (low & _LOW) << _WORD
+    owner = np.concatenate(owners).astype(np.uint16)
+    order = np.argsort(owner, kind="stable")
+    words = np.concatenate(digits)[order]
+    over = np.flatnonzero(words >> _WORD)
+    while len(over):  # carries, towards the lane's first word
+        words[over] -= 1 << _WORD
+        over -= 1
+        words[over] += 1
+        over = over[words[over] >> _WORD > 0]
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    size = np.bincount(owner, minlength=lanes)
+    start = np.cumsum(size) - size
+    asked = np.concatenate([(start[:, None] + np.arange(_WINDOW // _WORD)).ravel(), place[:events] + _WINDOW // _WORD])
+    asked = words[asked]
+    return top, asked[: np.flatnonzero(asked)[-1] + 1 if asked.any() else 0].astype("<u2").tobytes()
+
+
+def _decode_block(n: int, top: int, words: np.ndarray) -> np.ndarray:
+    steps, bounds = _deal(n)
+    lengths, lanes = np.diff(bounds), len(bounds) - 1
+    coded, words = len(words), np.append(words.astype(np.int64), np.zeros(2 * lanes * (_WINDOW // _WORD), dtype=np.int64))
+    at = lanes * (_WINDOW // _WORD)
+    first = words[:at].reshape(lanes, -1)
+    code = first[:, 0] << 2 * _WORD | first[:, 1] << _WORD | first[:, 2]
+    width = np.full(lanes, 1 << _WINDOW, dtype=np.int64)
+    body = steps - (n % lanes > 0)
+    grid = np.zeros((steps, lanes), dtype=np.int32)
+    model = _Orders(top, lanes)
     for t in range(steps):
-        lane = every[: live[t]]
-        n = len(lane)
-        if n < len(prev):
-            prev, older, kind = prev[:n], older[:n], kind[:n]
-        at1 = (lane << _H1) + ((prev * 0x7E5B) >> 7 & (1 << _H1) - 1)
-        at2 = (lane << _H2) + ((prev * 0x3A4B + older * 0x22C5) >> 8 & (1 << _H2) - 1)
-        s1, s2 = t1[at1], t2[at2]
-        p1, p2, c1, c2 = s1 >> 2, s2 >> 2, s1 & 3, s2 & 3
-        now = out[t, :n]
-        hit = event(e2, lane, c2 << 2 | c1, now == p2 if encode else None)
-        if not encode:
-            now[hit] = p2[hit]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            ask = miss[p1[miss] != p2[miss]]
-            rest = np.ones(n, dtype=bool)
-            rest[hit] = False
-            if len(ask):
-                hit = event(e1, ask, c1[ask] << 2 | c2[ask], now[ask] == p1[ask] if encode else None)
-                done = ask[hit]
-                if not encode:
-                    now[done] = p1[done]
-                rest[done] = False
-            miss = np.flatnonzero(rest)
-            z = zero[miss]
-            ask = miss[(z != p1[miss]) & (z != p2[miss])]
-            if len(ask):
-                hit = event(e0, ask, np.minimum(votes[ask], 3), now[ask] == zero[ask] if encode else None)
-                done = ask[hit]
-                if not encode:
-                    now[done] = zero[done]
-                rest[done] = False
-            new = np.flatnonzero(rest)
-            if len(new):
-                cls = np.searchsorted(_BASE, now[new], side="right") - 1 if encode else None
-                upper = event(size, new, kind[new] * 3, cls >= 2 if encode else None)
-                odd = event(size, new, kind[new] * 3 + 1 + upper, (cls & 1) == 1 if encode else None)
-                cls = upper * 2 + odd
-                wide = new[cls > 0]
-                if encode:
-                    left = now[new] - _BASE[cls]
-                    side[side_at[new]] = left & 255
-                    side_at[new] += 1
-                    side[side_at[wide]] = left[cls > 0] >> 8
-                else:
-                    left = side[side_at[new]].astype(np.int32)
-                    side_at[new] += 1
-                    left[cls > 0] |= side[side_at[wide]].astype(np.int32) << 8
-                    now[new] = left + _BASE[cls]
-                side_at[wide] += 1
-        for table, at, s, p, c in ((t1, at1, s1, p1, c1), (t2, at2, s2, p2, c2)):
-            table[at] = np.where(now == p, s + (c < 3), np.where(c > 0, s - 1, now << 2))
-        votes[:n] += np.where(now == zero[:n], 1, -1)
-        lost = np.flatnonzero(votes[:n] < 0)
-        zero[lost], votes[lost] = now[lost], 0
-        kind = (now >= 256).astype(np.int32) + (now >= 2048) + (now >= 8192)
-        older, prev = prev, now
+        m = lanes if t < body else int((lengths > t).sum())
+        model.predict(m)
+        unit = width[:m] // model.all[model.context]
+        count = code[:m] // unit
+        other = count < model.total
+        hit2 = ~other & (count < model.edge[model.context])
+        hit1 = ~other & ~hit2
+        now = grid[t, :m]
+        k = np.flatnonzero(other)
+        ids = model.find(count[k])
+        now[k] = ids
+        begin, wide = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
+        begin[k], wide[k] = model.begins[ids], model.counts[ids]
+        for hit, named, edge, mass in ((hit1, model.c1, model.edge, model.mass1), (hit2, model.c2, None, model.mass2)):
+            k = np.flatnonzero(hit)
+            now[k] = named[k]
+            begin[k] = model.total if edge is None else edge[model.context[k]]
+            wide[k] = mass[model.context[k]]
+        code[:m] -= unit * begin
+        width[:m] = unit * wide
+        k = np.flatnonzero(width[:m] <= _LOW)
+        while len(k):
+            code[k] = code[k] << _WORD | words[at : at + len(k)]
+            at += len(k)
+            width[k] <<= _WORD
+            k = k[width[k] <= _LOW]
+        model.learn(now, hit2, hit1, t)
+    if at < coded:
+        raise ValueError("coded words are left over")
+    out = np.empty(n, dtype="<u2")
+    out[bounds[:-1, None] + np.arange(body)] = grid[:body].T
+    if body < steps:
+        out[bounds[1 : n % lanes + 1] - 1] = grid[body, : n % lanes]
     return out
 
 
-def encode(ids: np.ndarray, block: int = 2048) -> bytes:
-    """A container of independently decodable blocks of ``block`` ids."""
+def encode(ids: np.ndarray, block: int = 4 << 20) -> bytes:
+    """A container of independently decodable blocks of ``block`` ids at most, all of one size or one less."""
     ids = np.ascontiguousarray(ids, dtype="<u2")
-    lanes = -(-len(ids) // block)
-    lengths = np.full(lanes, block, dtype=np.int64)
-    if lanes:
-        lengths[-1] = len(ids) - block * (lanes - 1)
-    steps = int(lengths[0]) if lanes else 0
-    grid = np.zeros(lanes * block, dtype=np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T[:steps]) if lanes else np.zeros((0, 0), np.int32)
-    coder = _Coder(lanes, 8 * steps + 8)
-    side = np.zeros(lanes * 2 * steps, dtype=np.uint8)
-    side_at = np.arange(lanes, dtype=np.int64) * 2 * steps
-    _run(lengths, coder, grid, side, side_at)
-    crc = [zlib.crc32(ids[k * block : (k + 1) * block].tobytes()) for k in range(lanes)]
-    coded, rest = [], []
-    for k in range(lanes):
-        a, b = k * coder.room, int(coder.at[k])
-        coded.append(coder.out[a:b].tobytes() + int(coder.low[k]).to_bytes(4, "big"))
-        rest.append(side[k * 2 * steps : int(side_at[k])].tobytes())
-    table = np.array([lengths, [len(x) for x in coded], [len(x) for x in rest], crc], dtype="<u4") if lanes else np.zeros((4, 0), "<u4")
-    return b"".join([_HEAD.pack(MAGIC, VERSION, block, lanes), table.tobytes(), *coded, *rest])
+    parts, table = [], []
+    for part in np.array_split(ids, -(-len(ids) // block)) if len(ids) else ():
+        top, words = _encode_block(part)
+        parts.append(words)
+        table.append((len(part), top, len(words), zlib.crc32(part.tobytes())))
+    rows = np.array(table, dtype="<u4").reshape(-1, 4)
+    return b"".join([_HEAD.pack(MAGIC, VERSION, block, len(parts)), rows.tobytes(), *parts])
 
 
 def decode(data: bytes, only: list[int] | None = None) -> np.ndarray:
     """The ids of all blocks, or of the blocks numbered in ``only``; a damaged block raises."""
-    magic, version, block, lanes = _HEAD.unpack_from(data)
+    magic, version, _, blocks = _HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token container of this version")
-    if not lanes:
-        return np.zeros(0, "<u2")
-    table = np.frombuffer(data, "<u4", 4 * lanes, _HEAD.size).reshape(4, lanes).astype(np.int64)
-    body = np.concatenate([np.frombuffer(data, np.uint8, offset=_HEAD.size + 16 * lanes), np.zeros(8, np.uint8)])
-    lengths, coded, rest, crc = table
-    coded_at = np.cumsum(coded) - coded
-    rest_at = coded.sum() + np.cumsum(rest) - rest
-    if only is not None:
-        pick = np.array(sorted(only, key=lambda k: -lengths[k]), dtype=np.int64)
-    else:
-        pick = np.arange(lanes)
-    coder = _Coder(len(pick), 0, body.astype(np.int64), coded_at[pick])
-    grid = _run(lengths[pick], coder, None, body, rest_at[pick].copy())
-    found = {}
-    for k, lane in enumerate(pick.tolist()):
-        got = grid[: lengths[lane], k].astype("<u2")
-        if zlib.crc32(got.tobytes()) != crc[lane]:
-            raise ValueError(f"block {lane} is damaged")
-        found[lane] = got
-    return np.concatenate([found[k] for k in (only if only is not None else range(lanes))]) if len(pick) else np.zeros(0, "<u2")
+    table = np.frombuffer(data, "<u4", 4 * blocks, _HEAD.size).reshape(-1, 4).astype(np.int64)
+    begins = _HEAD.size + 16 * blocks + np.cumsum(table[:, 2]) - table[:, 2]
+    found = [np.zeros(0, "<u2")]
+    for k in range(blocks) if only is None else only:
+        n, top, size, crc = table[k].tolist()
+        try:
+            ids = _decode_block(n, top, np.frombuffer(data, "<u2", size // 2, int(begins[k])))
+        except (IndexError, ValueError, ZeroDivisionError) as e:
+            raise ValueError(f"block {k} is damaged") from e
+        if zlib.crc32(ids.tobytes()) != crc:
+            raise ValueError(f"block {k} is damaged")
+        found.append(ids)
+    return np.concatenate(found)

@@ -1,7 +1,8 @@
 """Token files: whole texts to ids, written as checksummed containers of coded blocks in document order.
 
-The table is range-partitioned by document id (ties are spread by a hash of the text, so repeated ids
-don't gather in one task) and sorted within partitions; every task writes containers of whole
+The table is range-partitioned by document id (ties are spread by a hash of the text and then by where the
+row was read, so repeated ids and whole repeated rows don't gather in one task) and sorted within partitions
+(``partitions`` of them, or as many as ``spark.sql.shuffle.partitions`` and adaptive execution give); every task writes containers of whole
 documents in that order, as rows of Parquet files, whose writer commits a task's files only once. A
 container row has the documents' ids and lengths and one ``range_coder`` payload. Reading decodes each
 container by itself; only one total per partition, never per document, goes through the driver.
@@ -35,11 +36,6 @@ _SCHEMA = pa.schema(
 DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _partitions(df: DataFrame) -> int:
-    """As many as the scan has: its splits follow the input's size."""
-    return max(1, df._jdf.queryExecution().toRdd().getNumPartitions())
-
-
 def write(
     docs: DataFrame,
     path: str,
@@ -47,7 +43,7 @@ def write(
     end_id: int = 2,
     doc_id: str = "doc_id",
     text: str = "text",
-    block: int = 1024,
+    block: int = 4 << 20,
     container_ids: int = 3 << 20,
     partitions: int | None = None,
 ) -> None:
@@ -82,8 +78,9 @@ def write(
         trim()
 
     chosen = small_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    n = partitions or _partitions(chosen)
-    ordered = chosen.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", F.xxhash64("text"), "spread"]
+    spread = chosen.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    ordered = spread.repartitionByRange(*([partitions] if partitions else []), *keys).sortWithinPartitions("doc_id", "text", "spread").drop("spread")
     ordered.mapInArrow(task, CONTAINERS).write.option("compression", "none").parquet(path)
 
 

@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, one encoding per distinct piece of text.
 
 Byte-level BPE first cuts a text into pieces by a fixed pattern and then encodes every piece by
-itself. Pieces repeat far more often than they are new, so their ids are kept in a bounded table.
-Texts with characters whose class may differ between Unicode versions go to the library whole.
+itself. Pieces repeat far more often than they are new, so the ids that the library's model gives them are
+kept in a bounded table. Texts with characters whose class may differ between Unicode versions, or with the
+name of a special token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,9 +13,6 @@ import re
 import sys
 from array import array
 
-import numpy as np
-
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fixed value: the cutting pattern of the byte-level vocabulary, as published with it.
@@ -23,60 +21,76 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _CUT = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _RARE = re.compile("[^\u0000-\u024f\u2010-\u2027\u20ac]")
-_SPACED = re.compile(f" [{_L}]+")
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
+class _Spelling(dict):
+    """Characters to their bytes' letters, filled as they are met (for ``str.translate``)."""
+
+    def __init__(self):
+        super().__init__()
+        self.letters = _byte_letters()
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(self.letters[b] for b in chr(code).encode())
+        return self[code]
+
+
+class _Known(dict):
+    """Pieces to ids, asked of the library's model when they are first met; emptied when it holds too many characters."""
+
+    def __init__(self, model, max_chars: int):
+        super().__init__()
+        self.model, self.room, self.max_chars = model, max_chars, max_chars
+        self.spelling = _Spelling()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("H", [t.id for t in self.model.tokenize(piece.translate(self.spelling))]).tobytes()
+        self.room -= len(piece) + 24
+        if self.room < 0:
+            self.clear()
+            self.room = self.max_chars
+        if len(piece) < self.max_chars >> 8:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to ids (unsigned 16-bit, little-endian bytes). Strings of special tokens are ordinary text."""
+    """Texts to ids (unsigned 16-bit, little-endian bytes), as ``Tokenizer.encode`` gives them without added special
+    tokens: the name of a special token within a text is that token."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, max_chars: int = 40_000_000):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little":
             raise ValueError("little-endian machines only")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.max_pieces = max_pieces
-        self.known: dict[str, bytes] = {}
-
-        vocab = self.tokenizer.get_vocab()
-        self.opens = np.zeros(1 << 16, dtype=bool)  # ids whose text begins with a space
-        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new pieces. Those of a space and letters are encoded end to end: each starts anew at its space."""
-        spaced, rest = [], []
-        for piece in new:
-            (spaced if _SPACED.fullmatch(piece) else rest).append(piece)
-        for k in range(0, len(rest), 4096):
-            self.known.update(zip(rest[k : k + 4096], self._encode(rest[k : k + 4096]), strict=True))
-        for k in range(0, len(spaced), 16384):
-            part = spaced[k : k + 16384]
-            raw = self._encode(["".join(part)])[0]
-            at = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u2")]) * 2).tolist()
-            at.append(len(raw))
-            self.known.update((p, raw[i:j]) for p, i, j in zip(part, at, at[1:], strict=False))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = _Known(self.tokenizer.model, max_chars)
+
+    def _whole(self, text: str) -> bool:
+        return not text.isascii() and _RARE.search(text) is not None or any(s in text for s in self.special)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        whole = [k for k, t in enumerate(texts) if t and not t.isascii() and _RARE.search(t)]
-        rare = set(whole)
-        cuts = [_CUT.findall(t) if t and k not in rare else () for k, t in enumerate(texts)]
-        known = self.known
-        new = list(set().union(*cuts).difference(known))
-        if len(known) + len(new) > self.max_pieces:
-            known.clear()
-            new = list(set().union(*cuts))
-        self._learn(new)
-        out = [b"".join(map(known.__getitem__, cut)) for cut in cuts]
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
+        ids = self.known.__getitem__
+        out = []
+        for text in texts:
+            if not text:
+                out.append(b"")
+            elif self._whole(text):
+                out.append(array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(ids, _CUT.findall(text))))
         return out
 
 
