@@ -367,14 +367,67 @@ def test_nearest_is_exact():
         row = {t: rng.random() for t in rng.sample(range(12), rng.randrange(4))}
         norm = math.sqrt(sum(w * w for w in row.values()))
         rows.append({t: w / norm for t, w in row.items()})
-    index = toxicity.BlockMaxIndex(rows + rows[:20], 12, block=8)
+    as_vector = lambda row: (np.array(sorted(row), dtype=np.int64), np.array([row[t] for t in sorted(row)]))
+    index = toxicity.BlockMaxIndex([as_vector(r) for r in rows + rows[:20]], 12, block=8)
     for q in rows[:60]:
         score = [(-round(sum(w * r.get(t, 0) for t, w in q.items()), 12), k) for k, r in enumerate(rows + rows[:20])]
         want = sorted(s for s in score if s[0] < 0)[:7]
-        got, sims = index.nearest(q, 7)
+        got, sims = index.nearest(as_vector(q), 7)
         assert [k for _, k in want] == got.tolist() and np.allclose([-s for s, _ in want], sims)
 
 
+def plain_toxicity(examples, texts, k=15):
+    """Dense cosines over all terms, similarity-weighted votes, and the best rising fit of labels over leave-one-out votes."""
+    words = [collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for _, t, _ in examples]
+    y = np.array([label for *_, label in examples], dtype=float)
+    vocabulary = sorted(set().union(*words))
+    has = np.array([[w in c for w in vocabulary] for c in words], dtype=float)
+    df, hits, n = has.sum(axis=0), (has * y[:, None]).sum(axis=0), len(y)
+    table = np.array([hits, df - hits, y.sum() - hits, n - y.sum() - df + hits])
+    expected = np.array([df * y.mean(), df * (1 - y.mean()), (n - df) * y.mean(), (n - df) * (1 - y.mean())])
+    chi = ((table - expected) ** 2 / np.where(expected, expected, 1)).sum(axis=0) / n
+    weight = (np.log((1 + n) / (1 + df)) + 1) * chi**2
+
+    def vector(counts):
+        v = np.array([(1 + math.log(counts[w])) if counts.get(w) else 0.0 for w in vocabulary]) * weight
+        return v / np.linalg.norm(v) if v.any() else v
+
+    matrix = np.array([vector(c) for c in words])
+    empty = ~matrix.any(axis=1)
+    bare = y[empty].mean() if empty.any() else y.mean()
+
+    def vote(v, skip=None):
+        sims = sorted((-round(float(s), 10), r) for r, s in enumerate(matrix @ v) if r != skip and s > 1e-12)[:k]
+        return sum(s * y[r] for s, r in sims) / sum(s for s, _ in sims) if sims else bare
+
+    votes = np.array([vote(v, r) if v.any() else bare for r, v in enumerate(matrix)]).round(9)
+    cuts = np.unique(votes)
+    means = {(a, b): y[(votes >= cuts[a]) & (votes <= cuts[b])].mean() for a in range(len(cuts)) for b in range(a, len(cuts))}
+    values = [max(min(means[a, b] for b in range(x, len(cuts))) for a in range(x + 1)) for x in range(len(cuts))]  # isotonic regression by its max-min formula
+    return [float(np.interp(vote(vector(collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())))), cuts, values)) for t in texts]
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randrange(3, 30), [f"w{chr(97 + j)}{chr(97 + i)}" for i in range(9) for j in range(9)]) for _ in range(160)]
+    texts = [t + (" vile" * rng.randrange(1, 3) if k % 4 == 0 else "") + (" rude" if k % 6 == 0 else "") for k, t in enumerate(texts)]
+    texts[7] = texts[8] = None
+    texts[9] = texts[10]
+    examples = [(k, texts[k], int(k % 4 == 0 or k % 13 == 0)) for k in range(100)]
+    model = toxicity.fit_examples(examples, block=8)
+    got = [model.scorer(3)(t) for t in texts]
+    assert [g[0] for g in got] == pytest.approx(plain_toxicity(examples, texts), abs=1e-6)
+    assert sum(not g[2] for g in got) == 2  # the nulls only; all others have evidence
+    assert all(x == y for x, y in zip(got, [model.scorer(3)(t) for t in texts], strict=True))
+
+
+def test_toxicity_examples_are_bounded_in_characters(spark):
+    df = spark.createDataFrame([(k, "word " * 100 if k % 2 else "vile " * 1000) for k in range(40)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, toxic int")
+    ids = toxicity.fit(df, lab, F.lit(True), max_chars=30_000).ids
+    assert sum(500 if k % 2 else 5000 for k in ids) <= 30_000 and any(k % 2 == 0 for k in ids) and sum(k % 2 for k in ids) > 5
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(9)
     rows, labels = [], []
@@ -409,7 +462,8 @@ def test_toxicity_frequencies_are_of_all_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     lab = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
     model = toxicity.fit(df, lab, F.lit(True))
-    assert {w: model.idf[t] for w, t in model.term.items()} == pytest.approx({"vile": math.log(131 / 71) + 1, "kind": math.log(131 / 41) + 1})
+    idf = {"vile": math.log(131 / 71) + 1, "kind": math.log(131 / 41) + 1, "words": math.log(131 / 81) + 1, "here": math.log(131 / 81) + 1}
+    assert {w: model.idf[t] for w, t in model.term.items()} == pytest.approx(idf)
 
 
 
