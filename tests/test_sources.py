@@ -128,3 +128,10 @@ def test_unique_ids_refuse_repeats_and_nulls(spark):
     for bad in (["a", "a"], ["a", None]):
         with pytest.raises(Exception, match="missing or repeats"):
             records.unique_ids(rows(bad)).collect()
+
+
+def test_records_are_numbered_as_they_stand(spark, tmp_path):
+    for name, texts in (("a.jsonl", ["z", "same", "b"]), ("b.jsonl", ["same", "a"])):
+        (tmp_path / name).write_text("".join(json.dumps({"text": t}) + "\n" for t in texts))
+    df = records.numbered(records.read_records(spark, str(tmp_path / "*.jsonl"), placed=True), records.PLACE)
+    assert [r.text for r in df.orderBy("index").collect()] == ["z", "same", "b", "same", "a"]

@@ -168,3 +168,11 @@ def test_snippets_escape_as_python_does(spark, limit):
             continue
         whole = texts[k].encode("unicode_escape").decode()
         assert got == (whole if len(whole) <= limit else whole[:limit] if limit <= 3 else whole[: limit - 3] + "...")
+
+
+def test_tokens_of_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(1, "ab cd"), (1, "ab cd"), (None, " x"), (None, None)], "k long, text string").coalesce(1)
+    rows = sorted(tuple(r) for r in K.tokenize(df, "k", surface=False).collect() if r.k)
+    assert rows == sorted([(1, 0, 0, 2), (1, 1, 3, 5)] * 2)
+    assert [tuple(r) for r in K.tokenize(df, "k").where("k is null").collect()] == [(None, 0, "x", 1, 2)]
+    assert "Exchange" not in K.tokenize(df, "k")._jdf.queryExecution().executedPlan().toString()

@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
             for row in out.toLocalIterator():
                 print(row["value"])
         return 0
-    df = records.numbered(records.read_records(spark, args.dataset), ["text"])
+    df = records.numbered(records.read_records(spark, args.dataset, placed=True), records.PLACE).drop(*records.PLACE)
     df = records.stable_ids(df)
     if args.dataset_variant == "message":
         df = records.explode_messages(df, "example_id")

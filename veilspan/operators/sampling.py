@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def _hash(seed: int, key: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    """Of seed and key; null keys have a hash of their own."""
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), F.lit(f"{seed}")).cast("binary"))
 
 
 def seeded_rank(df: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:

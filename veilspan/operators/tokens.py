@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +16,45 @@ from veilspan.operators.spans import bioes
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]"
 
 
-def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN) -> DataFrame:
-    """key, token_idx, token, char_start, char_end: gaps and tokens alternate, so a running sum of their
-    lengths gives every offset. The window is by key, so a task holds texts, never the table."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(found.alias("m"), F.slice(F.split(body, pattern, -1), F.lit(1), F.size(found)).alias("g"))
-    rows = df.select(key, F.posexplode(both).alias("token_idx", "x")).select(key, F.col("token_idx").cast("long").alias("token_idx"), F.col("x.m").alias("token"), F.length("x.g").cast("long").alias("_g"))
-    w = Window.partitionBy(key).orderBy("token_idx").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.length("token").cast("long")
-    end = F.sum(F.col("_g") + size).over(w)
-    return rows.select(key, "token_idx", "token", end.alias("char_end"), size.alias("_n")).select(key, "token_idx", "token", (F.col("char_end") - F.col("_n")).alias("char_start"), "char_end")
+def tokenize(df: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN, surface: bool = True) -> DataFrame:
+    """key, token_idx, token (if ``surface``), char_start, char_end. Row-local, linear and without a shuffle: no
+    built-in function gives the positions of all matches, so the texts go through Arrow. Each row is a
+    text of its own, also where keys repeat or are null; null and empty texts have no token."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = re.compile(pattern)
+        for batch in batches:
+            at, rows, tokens, held = [], [], [], 0
+            for row, body in enumerate(batch.column(1)):
+                found = [m.span() for m in match.finditer(body.as_py() or "")]
+                if not found:
+                    continue
+                rows.append((row, len(found)))
+                at.append(np.array(found, dtype=np.int64))
+                if surface:
+                    tokens += match.findall(body.as_py())
+                held += len(found)
+                if held >= 1 << 17 or row == batch.num_rows - 1:
+                    yield _tokens(batch.column(0), rows, at, tokens)
+                    at, rows, tokens, held = [], [], [], 0
+            if rows:
+                yield _tokens(batch.column(0), rows, at, tokens)
+
+    def _tokens(keys: pa.Array, rows: list[tuple[int, int]], at: list[np.ndarray], tokens: list[str]) -> pa.RecordBatch:
+        spans = np.concatenate(at)
+        n = np.array([n for _, n in rows])
+        columns = {
+            key: keys.take(pa.array(np.repeat([row for row, _ in rows], n))),
+            "token_idx": pa.array(np.arange(len(spans)) - np.repeat(np.cumsum(n) - n, n)),
+            **({"token": pa.array(tokens, pa.string())} if surface else {}),
+            "char_start": pa.array(spans[:, 0]),
+            "char_end": pa.array(spans[:, 1]),
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = f"`{key}` {kind}, token_idx long, {'token string, ' if surface else ''}char_start long, char_end long"
+    return df.select(key, F.col(text).cast("string").alias(f"{key}_")).mapInArrow(task, schema)
 
 
 def byte_token_ranges(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

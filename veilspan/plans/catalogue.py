@@ -160,18 +160,18 @@ def trim_span_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("tokenize_offsets", f"WITH {O.TOKENS} SELECT doc_id, token_idx, char_start, char_end FROM tok")
 def tokenize_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.tokenize(_docs(spark, sf_dir)).drop("token")
+    return K.tokenize(_docs(spark, sf_dir), surface=False)
 
 
 @_add("token_windows", f"WITH {O.TOKENS} SELECT doc_id, token_idx // 128 AS window_id, count(*) AS n_tokens FROM tok GROUP BY 1, 2")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.window_sizes(K.tokenize(_docs(spark, sf_dir)), 128)
+    return K.window_sizes(K.tokenize(_docs(spark, sf_dir), surface=False), 128)
 
 
 def _tagged(spark: SparkSession, sf_dir: str, which: Query) -> DataFrame:
     """Won tokens; only documents with a span are tokenised."""
     spans = which(spark, sf_dir)
-    return K.won_tokens(K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi")), spans)
+    return K.won_tokens(K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), surface=False), spans)
 
 
 @_add("gold_token_labels", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'gold')} SELECT doc_id, token_idx, boundary || '-' || label AS tag FROM g")
@@ -198,7 +198,7 @@ def bioes_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_to_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _pred(spark, sf_dir)
-    tokens = K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"))
+    tokens = K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), surface=False)
     return S.token_to_char_spans(S.tags_to_spans(K.won_tokens(tokens, spans)), tokens)
 
 
@@ -249,7 +249,7 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = K.tag(F.col("boundary"), F.col("label"))
     gold = _tagged(spark, sf_dir, _gold).select("doc_id", "token_idx", tag.alias("gold_tag"))
     pred = _tagged(spark, sf_dir, _pred).select("doc_id", "token_idx", tag.alias("pred_tag"))
-    tokens = K.tokenize(_docs(spark, sf_dir)).select("doc_id", "token_idx")
+    tokens = K.tokenize(_docs(spark, sf_dir), surface=False).select("doc_id", "token_idx")
     both = tokens.join(gold, ["doc_id", "token_idx"], "left").join(pred, ["doc_id", "token_idx"], "left")
     return both.select("doc_id", "token_idx", F.coalesce("gold_tag", F.lit("O")).alias("gold_tag"), F.coalesce("pred_tag", F.lit("O")).alias("pred_tag"))
 

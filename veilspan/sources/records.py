@@ -19,15 +19,25 @@ MESSAGE = "(?:^|\n\n)(?:user|assistant): "
 SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".csv", ".json", ".log")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+#: Where a record stands: files by name, in a file by its parts, in a part by lines.
+PLACE = ("_file", "_part", "_line")
+
+
+def read_records(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
     """JSON lines (also gzip), one object per line, blank lines skipped, anything else fails. Remote or
-    local: Spark's own path rules, globs included."""
-    return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+    local: Spark's own path rules, globs included. ``placed`` adds the columns of ``PLACE``, by which ``numbered``
+    gives the records' positions."""
+    found = spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
+    if not placed:
+        return found
+    return found.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_line"))
 
 
 def numbered(records: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``index`` (from 0) in the order of the named columns; ranks by range-partitioned parts, not in one task."""
-    ordered = records.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    """``index`` (from 0) in the order of the named columns; ranks by range-partitioned parts, not in one task. Their
+    number is fixed, so both jobs see the same parts."""
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = records.repartitionByRange(parts, *[F.col(c) for c in order]).sortWithinPartitions(*order)
     marked = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
     first = marked.groupBy("_p").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
     parts = sorted(first.collect())  # one per partition
