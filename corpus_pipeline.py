@@ -25,11 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; of the others, the lines that failed go."""
-    judged = quality_rules.judge(docs).where("kept")
-    clean = judged.withColumn("text", F.col("cleaned_text"))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # no column clashes with a result
+    judged = quality_rules.judge(whole).where("kept")
+    changed = {"text": F.col("cleaned_text"), "n_chars": F.length("cleaned_text")}
+    return judged.select(*[changed.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -685,3 +685,35 @@ def test_words_and_windows():
     assert h[words.index("A")] != h[words.index("b")] and len(set(h.tolist())) == len(words)
     assert np.diff(textbuf.window_hashes(h, first)[1]).tolist() == [1, 0, 0, 1, 3, 0]
     assert list(textbuf.pieces(pa.array(["x" * 10] * 5), 20)) == [(0, 2), (2, 4), (4, 5)]
+
+
+CLASHES = [*quality_rules.RESULT, "_id", "_row", "_words", "_lines", "_good", "_clean", "_windows", "_repeats", "_w", "_h", "_rep", "row", "key", "cleaned_text", "_", "__x"]
+
+
+def clashing(spark):
+    """A table with a column of every internal and result name, each row with its own values there."""
+    body = [(0, "A first line of words here, with an end. " * 4), (1, "Another text, quite unlike it, that ends as well. " * 3), (2, "A first line of words here, with an end. " * 4), (3, " ".join(f"word{k}" for k in range(30)) + "."), (None, None)]
+    names = list(dict.fromkeys(CLASHES))
+    return spark.createDataFrame([(*r, *(f"{n}{k}" for n in names)) for k, r in enumerate(body)], ["doc_id", "text", *names]).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def test_no_column_clashes(spark):
+    df = clashing(spark)
+    own = [n for n in df.columns if n not in quality_rules.RESULT]
+    judged = quality_rules.judge(df)
+    assert sorted(map(str, judged.select(own).collect())) == sorted(map(str, df.select(own).collect()))
+    first = ngram_join.keep_first(df)
+    assert first.columns == df.columns
+    rows = {str(r) for r in df.collect()}
+    assert {str(r) for r in first.collect()} < rows and first.count() == 4
+
+
+def test_pipeline_stages_keep_all_columns(spark):
+    import corpus_pipeline
+
+    df = clashing(spark)
+    out = corpus_pipeline.apply_quality_rules(spark, df, "")
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    others = [n for n in df.columns if n != "text"]
+    kept = {str(r) for r in out.select(others).collect()}
+    assert kept and kept <= {str(r) for r in df.select(others).collect()}

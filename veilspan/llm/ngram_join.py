@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import textbuf
-from veilspan.llm.store import small_batches, trim, written
+from veilspan.llm.store import small_batches, trim, unused, written
 
 SIGNED = "doc_id long, row long, key binary, n long, bands array<long>, grams binary"
 
@@ -310,6 +310,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     hash of its text; of rows with the same id and text any one."""
     known = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63)))
     first = near_classes(docs, doc_id=doc_id, text=text, **options).groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f"))
-    first = written(first.select(known(F.col("f.doc_id")).alias("_id"), F.col("f.row").alias("_row")), "near-first")
-    marked = docs.withColumn("_id", known(docs[doc_id])).withColumn("_row", F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string")))
-    return marked.join(first, ["_id", "_row"], "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    id_, row = unused(docs.columns, "id", "row")
+    first = written(first.select(known(F.col("f.doc_id")).alias(id_), F.col("f.row").alias(row)), "near-first")
+    marked = docs.withColumn(id_, known(docs[doc_id])).withColumn(row, F.xxhash64(docs[doc_id].cast("long"), docs[text].cast("string")))
+    return marked.join(first, [id_, row], "left_semi").dropDuplicates([id_, row]).select(*docs.columns)

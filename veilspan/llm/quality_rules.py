@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm.store import unused
+
 #: The words' separators and the counted symbols.
 SPACE = r"[\x20\x09-\x0D]"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -57,33 +59,34 @@ def judge(
     """``docs`` with counts, verdicts and the cleaned text (null where the text is null)."""
     body = F.coalesce(F.col(text), F.lit(""))
     keep = [c for c in docs.columns if c.lower() not in RESULT]
+    words, lines, good, clean, hashes, repeated = unused(docs.columns, "words", "lines", "good", "clean", "windows", "repeats")
     zero = F.lit(0).cast("long")
     longs = lambda c: F.coalesce(c.cast("long"), zero)
 
     one = docs.select(
         *[F.col(f"`{c}`") for c in keep],
-        F.transform(F.filter(F.split(body, f"{SPACE}+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_w"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(NO_SPACE)).alias("_lines"),
-        F.filter(F.split(body, "\n"), lambda x: ~_line_fails(x, max_boilerplate_words)).alias("_good"),
+        F.transform(F.filter(F.split(body, f"{SPACE}+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias(words),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(NO_SPACE)).alias(lines),
+        F.filter(F.split(body, "\n"), lambda x: ~_line_fails(x, max_boilerplate_words)).alias(good),
         longs(F.length(F.regexp_replace(body, f"{SPACE}+", ""))).alias("word_chars"),
         longs(F.regexp_count(body, F.lit(SYMBOLS))).alias("n_symbols"),
     )
     wins = F.when(
-        F.size("_w") >= window,
-        F.transform(F.sequence(F.lit(0), F.size("_w") - window), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(window)])),
+        F.size(words) >= window,
+        F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)])),
     ).otherwise(F.array().cast("array<bigint>"))
     two = one.select(
         "*",
-        longs(F.size("_w")).alias("n_words"),
-        longs(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
-        F.array_join("_good", "\n").alias("_clean"),
-        longs(F.size("_lines")).alias("n_lines"),
-        wins.alias("_h"),
-    ).drop("_lines", "_w")
+        longs(F.size(words)).alias("n_words"),
+        longs(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
+        F.array_join(good, "\n").alias(clean),
+        longs(F.size(lines)).alias("n_lines"),
+        wins.alias(hashes),
+    ).drop(lines, words)
     # Most texts repeat no window: one cheap sort tells, and only the others look for positions.
-    repeats = _bind(F.sort_array("_h"), lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.get(s, i) == F.get(s, i - 1)))
-    three = two.withColumn("_rep", F.coalesce(repeats, F.lit(False)))
-    placed = F.when(F.col("_rep"), F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
+    repeats = _bind(F.sort_array(hashes), lambda s: F.exists(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.get(s, i) == F.get(s, i - 1)))
+    three = two.withColumn(repeated, F.coalesce(repeats, F.lit(False)))
+    placed = F.when(F.col(repeated), F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
     same = lambda s: lambda e, i: F.coalesce(F.get(s, i - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == e["h"], F.lit(False))
     at = _bind(placed, lambda s: F.sort_array(F.transform(F.filter(s, same(s)), lambda e: e["p"])))
     covered = _bind(
@@ -94,8 +97,8 @@ def judge(
             lambda a, x: a + x,
         ),
     )
-    four = three.withColumn("n_repeat_words", F.when(F.col("_rep"), longs(covered)).otherwise(zero)).drop("_h", "_rep")
-    kept_chars = longs(F.length(F.regexp_replace("_clean", f"{SPACE}+", "")))
+    four = three.withColumn("n_repeat_words", F.when(F.col(repeated), longs(covered)).otherwise(zero)).drop(hashes, repeated)
+    kept_chars = longs(F.length(F.regexp_replace(clean, f"{SPACE}+", "")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     # Always true, but not deterministic: a filter on ``kept`` must not be pushed below, where every
     # reference would be replaced by its whole expression, again and again.
@@ -110,7 +113,7 @@ def judge(
         failed.alias("base_failed"),
         (~failed & (kept_chars * 100 >= F.col("word_chars") * min_kept_percent) & here).alias("kept"),
         "n_lines",
-        (F.col("n_lines") - F.size(F.filter("_good", lambda x: x.rlike(NO_SPACE)))).alias("n_failed_lines"),
+        (F.col("n_lines") - F.size(F.filter(good, lambda x: x.rlike(NO_SPACE)))).alias("n_failed_lines"),
         kept_chars.alias("kept_chars"),
-        F.when(F.col(text).isNotNull(), F.col("_clean")).alias("cleaned_text") if text in keep else F.col("_clean").alias("cleaned_text"),
+        F.when(F.col(text).isNotNull(), F.col(clean)).alias("cleaned_text") if text in keep else F.col(clean).alias("cleaned_text"),
     )

@@ -10,13 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, behind a prefix that none of ``columns`` begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests on one machine) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests on one machine) a folder of our own, which
+    is refused on a cluster, whose machines can't read it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = "file://" + tempfile.mkdtemp(prefix="veilspan-")
