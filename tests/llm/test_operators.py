@@ -376,6 +376,21 @@ def test_nearest_is_exact():
         assert [k for _, k in want] == got.tolist() and np.allclose([-s for s, _ in want], sims)
 
 
+def test_nearest_takes_terms_of_no_length():
+    """Weights whose squares vanish beside 1 count as well."""
+    term = np.arange(400)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        rows = []
+        for _ in range(40):
+            w = rng.random(400) * np.where(rng.random(400) < 0.02, 1.0, 1e-9)
+            rows.append((term, w / np.sqrt((w * w).sum())))
+        index = toxicity.BlockMaxIndex(rows, 400, block=8)
+        want = np.round(np.array([w for _, w in rows]) @ rows[0][1], 12)
+        got, sims = index.nearest(rows[0], 30)
+        assert np.allclose(sims, np.sort(want)[::-1][:30]) and np.allclose(want[got], sims)
+
+
 def plain_toxicity(examples, texts, k=15):
     """Dense cosines over all terms, similarity-weighted votes, and the best rising fit of labels over leave-one-out votes."""
     words = [collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for _, t, _ in examples]

@@ -113,7 +113,7 @@ class BlockMaxIndex:
         score, least, done = np.zeros(self.blocks * self.width), 0.0, 0
         alive = np.arange(self.blocks)
         for rest in self._RESTS:
-            upto = int(np.argmax(left <= rest)) + 1
+            upto = int(np.argmax(left <= rest)) + 1 if rest else len(term)
             if upto <= done:
                 continue
             now = weight[done:upto]
