@@ -66,7 +66,7 @@ class Encoder:
     """Texts to ids (unsigned 16-bit, little-endian bytes), as ``Tokenizer.encode`` gives them without added special
     tokens: the name of a special token within a text is that token."""
 
-    def __init__(self, path: str, max_chars: int = 40_000_000):
+    def __init__(self, path: str, max_chars: int = 24_000_000):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little":
