@@ -176,3 +176,58 @@ def test_tokens_of_repeated_and_null_keys(spark):
     assert rows == sorted([(1, 0, 0, 2), (1, 1, 3, 5)] * 2)
     assert [tuple(r) for r in K.tokenize(df, "k").where("k is null").collect()] == [(None, 0, "x", 1, 2)]
     assert "Exchange" not in K.tokenize(df, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_are_cut_as_short_ones(spark):
+    text = "".join(f"é{k} a@b{k}.io 😀\n" for k in range(2000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in R.redact(df).collect()}
+    assert rows[1].redacted_text == re.sub(r"a@b\d+\.io", "<PRIVATE_EMAIL>", text) and rows[1].span_count == 2000
+    assert (rows[2].redacted_text, rows[3].redacted_text) == (None, "")
+    long = R.spans_long(df, "doc_id", R.detect(F.col("text")), F.col("text")).collect()
+    assert [r.surface for r in sorted(long, key=lambda r: r.span_start)] == re.findall(r"a@b\d+\.io", text)
+    wide = F.array(F.struct(F.lit("x").alias("label"), F.lit(4990).cast("long").alias("span_start"), F.lit(7001).cast("long").alias("span_end")))
+    got = df.where("doc_id = 1").select(T.splice(F.col("text"), wide, lambda s: F.lit("|")).alias("t")).first().t
+    assert got == text[:4990] + "|" + text[7001:]
+
+
+def test_tags_within_the_row_match_joins(spark):
+    rng = random.Random(5)
+    texts = [(k, " ".join(rng.choice(["ab", "c", "def.", "😀"]) for _ in range(rng.randrange(30)))) for k in range(40)]
+    spans = []
+    for _, t in texts:
+        ends = [sorted(rng.sample(range(len(t) + 1), 2)) for _ in range(rng.randrange(4))] if len(t) > 1 else []
+        spans.append([(rng.choice("XY"), a, b) for a, b in ends])
+    df = spark.createDataFrame([(k, t, s) for (k, t), s in zip(texts, spans, strict=True)], f"doc_id long, text string, s array<{T.SPAN}>")
+    got = {(r.doc_id, r.token_idx): r.tag for r in K.tag_tokens(df, {"tag": F.col("s")}).collect()}
+    joined = K.label_tokens(K.tokenize(df), R.spans_long(df, "doc_id", F.col("s")))
+    assert got == {(r.doc_id, r.token_idx): r.tag for r in joined.select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("tag")).collect()}
+    few = K.tag_tokens(df, {"tag": F.col("s")}, background=False).collect()
+    assert {(r.doc_id, r.token_idx): r.tag for r in few} == {k: v for k, v in got.items() if v != "O"}
+
+
+def test_fragments_and_decoded_text():
+    raw = "aé😀b".encode()
+    parts, start, end = K.fragments([raw[:2], raw[2:5], raw[5:]])
+    assert (parts, start.tolist(), end.tolist()) == (["a", "é", "😀b"], [0, 1, 2], [1, 2, 4])
+    assert K.fragments([b"a", b"\xf0\x9f"])[0] == ["a", "�"] and K.fragments([])[0] == []
+    text, start, end = K.decoded_text([raw[:2], raw[2:5], raw[5:]])
+    assert (text, start.tolist(), end.tolist()) == ("aé😀b", [0, 1, 2], [2, 3, 4])
+    with pytest.raises(ValueError):
+        K.decoded_text([b"\xff\xff"])
+
+
+def test_context_length():
+    assert K.context_length({"default_n_ctx": 8}) == 4096 and K.context_length({"max_position_embeddings": 8}, accelerated=True) == 8
+    assert K.context_length({}, override=5) == 5 and K.context_length({}, accelerated=True) == 4096
+    for bad in (True, 0, "8"):
+        with pytest.raises(ValueError):
+            K.context_length({"default_n_ctx": bad}, accelerated=True)
+
+
+def test_public_names():
+    import veilspan
+
+    assert veilspan.redact is R.redact and all(getattr(veilspan, n) for n in veilspan.__all__)
+    with pytest.raises(AttributeError):
+        veilspan.nothing

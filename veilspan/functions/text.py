@@ -56,6 +56,20 @@ def surface(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
+def blocks(text: Column) -> Column:
+    """The text in blocks of 1,024 code points (a short one whole): a span's surface is then found without a scan from the text's start."""
+    cut = F.regexp_extract_all(text, F.lit("(?s).{1,1024}"), F.lit(0))
+    return F.when(F.length(text) > 4096, cut).otherwise(F.array(text))
+
+
+def piece(held: Column, start: Column, end: Column) -> Column:
+    """``surface`` of the text whose ``blocks`` are ``held``; a span before the text's start has none in a long one."""
+    first = F.shiftright(start, 10)
+    count = F.shiftright(F.greatest(end, start + 1) - 1, 10) - first + 1
+    near = F.when(start >= 0, F.array_join(F.slice(held, (first + 1).cast("int"), count.cast("int")), ""))
+    return F.when(F.size(held) == 1, surface(F.get(held, F.lit(0)), start, end)).otherwise(surface(near, start - first * 1024, end - first * 1024))
+
+
 def placeholder(label: Column) -> Column:
     """``<UPPER_SNAKE>``; a label without letters or digits is ``<REDACTED>``."""
     name = F.btrim(F.regexp_replace(F.upper(label), "[^A-Za-z0-9]+", "_"), F.lit("_"))
@@ -70,12 +84,15 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | text.rlike(f"^{SPACE_CLASS}*$")
 
 
-def trimmed(text: Column, start: Column, end: Column) -> Column:
-    """The span without white space at its ends, as (span_start, span_end); empty if nothing is left."""
-    body = surface(text, start, end)
-    head = F.length(F.regexp_extract(body, f"^({SPACE_CLASS}*)", 1)).cast("long")
-    tail = F.length(F.regexp_extract(body, f"({SPACE_CLASS}*)$", 1)).cast("long")
-    return F.struct((start + head).alias("span_start"), F.greatest(start + head, end - tail).alias("span_end"))
+def trimmed(held: Column, start: Column, end: Column) -> Column:
+    """The span, of the text with the blocks ``held``, without white space at its ends, as (span_start, span_end); empty if nothing is left."""
+
+    def of(body: Column) -> Column:
+        head = F.length(F.regexp_extract(body, f"^({SPACE_CLASS}*)", 1)).cast("long")
+        tail = F.length(F.regexp_extract(body, f"({SPACE_CLASS}*)$", 1)).cast("long")
+        return F.struct((start + head).alias("span_start"), F.greatest(start + head, end - tail).alias("span_end"))
+
+    return bound(piece(held, start, end), of)
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
@@ -136,11 +153,13 @@ def highlight(text: Column, spans: Column, palette: list[str], reset: str = "\x1
 
 
 def splice(text: Column, spans: Column, mark) -> Column:
-    """``text`` with each of the disjoint, sorted spans replaced by ``mark(span)``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(
-        spans,
-        start,
-        lambda s, x: F.struct(F.concat(s["out"], surface(text, s["at"], x["span_start"]), mark(x)).alias("out"), x["span_end"].alias("at")),
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.greatest(F.length(text) - s["at"].cast("int"), F.lit(0)))),
-    )
+    """``text`` with each of the disjoint, sorted spans replaced by ``mark(span)`` (``<REDACTED>`` where that is null).
+    Linear: the pieces between spans are cut from blocks and joined once."""
+
+    def of(held: Column, all_: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get(all_, i)["span_end"], F.lit(0).cast("long"))
+        made = F.transform(all_, lambda x, i: F.concat(piece(held, stop(i - 1), x["span_start"]), F.coalesce(mark(x), F.lit(REDACTED_MARK))))
+        rest = piece(held, stop(F.size(all_) - 1), F.length(text).cast("long"))
+        return F.array_join(F.concat(made, F.array(rest)), "")
+
+    return F.when(text.isNotNull(), bound(blocks(text), lambda held: bound(spans, lambda all_: of(held, all_))))

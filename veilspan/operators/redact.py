@@ -120,9 +120,12 @@ class Redactor:
         """One JSON result per row in the column ``result``; the warning is there only if it applies."""
         out = self.with_text_only(False).transform(df, text, **options)
         summary = F.struct(F.lit(self.mode).alias("output_mode"), "span_count", by_label(F.col("detected_spans")).alias("by_label"), "decoded_mismatch")
-        found = F.transform(
-            "detected_spans",
-            lambda s: F.struct(s["label"].alias("label"), s["span_start"].cast("int").alias("start"), s["span_end"].cast("int").alias("end"), T.surface(F.col(text), s["span_start"], s["span_end"]).alias("text"), s["placeholder"].alias("placeholder")),
+        shown = lambda held, s: T.piece(held, s["span_start"], s["span_end"])
+        found = T.bound(
+            T.blocks(F.col(text)),
+            lambda held: F.transform(
+                "detected_spans", lambda s: F.struct(s["label"].alias("label"), s["span_start"].cast("int").alias("start"), s["span_end"].cast("int").alias("end"), shown(held, s).alias("text"), s["placeholder"].alias("placeholder"))
+            ),
         )
         body = F.struct(
             F.lit(SCHEMA_VERSION).alias("schema_version"), summary.alias("summary"), F.col(text).alias("text"), found.alias("detected_spans"), "redacted_text", F.when(F.col("decoded_mismatch"), F.lit(T.MISMATCH)).alias("warning")
@@ -137,8 +140,17 @@ def redact(df: DataFrame, text: str = "text", mode: str = "typed") -> DataFrame:
 
 def spans_long(df: DataFrame, key: str, spans: Column, text: Column | None = None) -> DataFrame:
     """One row per span: key, label, span_start, span_end and, with ``text``, its surface."""
-    one = df.select(key, *([text.alias("_text")] if text is not None else []), F.explode(spans).alias("s"))
-    out = one.select(key, "s.*", *(["_text"] if text is not None else []))
-    if text is None:
-        return out
-    return out.withColumn("surface", T.surface(F.col("_text"), F.col("span_start"), F.col("span_end"))).drop("_text")
+    if text is not None:  # surfaces within the row: no copy of the text per span
+        bare = spans
+        spans = T.bound(T.blocks(text), lambda held: F.transform(bare, lambda s: s.withField("surface", T.piece(held, s["span_start"], s["span_end"]))))
+    return df.select(key, F.explode(spans).alias("s")).select(key, "s.*")
+
+
+def paragraph_hits(df: DataFrame, key: str, text: Column, spans: Column) -> DataFrame:
+    """key, paragraph (from 0), surface: each distinct surface of the row's spans with each line that contains it,
+    whether or not the span lies there; what a paragraph-wise redaction has to replace."""
+    surfaces = T.bound(T.blocks(text), lambda held: F.array_distinct(F.transform(spans, lambda s: T.piece(held, s["span_start"], s["span_end"]))))
+    one = df.select(key, text.alias("_text"), surfaces.alias("_found")).where(F.size("_found") > 0)
+    lines = one.select(key, "_found", F.posexplode(F.split("_text", "\n", -1)).alias("paragraph", "_line"))
+    hits = F.filter("_found", lambda x: (x != "") & F.col("_line").contains(x))
+    return lines.select(key, F.col("paragraph").cast("long").alias("paragraph"), F.explode(hits).alias("surface"))

@@ -25,6 +25,13 @@ def seeded_rank(df: DataFrame, seed: int, key: str = "doc_id") -> DataFrame:
     return marked.withColumn("_r", within).join(F.broadcast(before), "_b").withColumn("_rank", F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
 
 
+def first_examples(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows by key: for trial runs. Each task keeps its own first ``n`` only."""
+    if n < 0:
+        raise ValueError("a number of examples is not negative")
+    return df.orderBy(key).limit(n)
+
+
 def split_validation(df: DataFrame, share: float, seed: int, key: str = "doc_id") -> DataFrame:
     """``validation`` is true for exactly floor(n * share) rows, at least 1 and at most n - 1; none if the
     share is 0 or there are fewer than two rows."""

@@ -65,7 +65,7 @@ def discard_overlaps_by_label(spans: Column) -> Column:
 
 def trim_spans(text: Column, spans: Column) -> Column:
     """Spans without white space at their ends; emptied ones go."""
-    cut = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), T.trimmed(text, s["span_start"], s["span_end"]).alias("p")))
+    cut = T.bound(T.blocks(text), lambda held: F.transform(spans, lambda s: F.struct(s["label"].alias("label"), T.trimmed(held, s["span_start"], s["span_end"]).alias("p"))))
     out = F.transform(cut, lambda s: F.struct(s["label"].alias("label"), s["p"]["span_start"].alias("span_start"), s["p"]["span_end"].alias("span_end")))
     return F.filter(out, lambda s: s["span_end"] > s["span_start"])
 
@@ -75,6 +75,30 @@ def in_bounds(text: Column, spans: Column) -> Column:
     return F.filter(spans, lambda s: (s["span_start"] >= 0) & (s["span_start"] < s["span_end"]) & (s["span_end"] <= F.length(text)))
 
 
+def normalised(spans: Column, count: Column) -> Column:
+    """Spans clamped to 0 and ``count``, without the emptied ones, by start, end and label."""
+    clamp = lambda s: F.struct(F.greatest(s["span_start"], F.lit(0).cast("long")).alias("a"), F.least(s["span_end"], count).alias("b"), s["label"].alias("c"))
+    sort = F.array_sort(F.filter(F.transform(spans, clamp), lambda s: s["b"] > s["a"]))
+    return F.transform(sort, lambda s: F.struct(s["c"].alias("label"), s["a"].alias("span_start"), s["b"].alias("span_end")))
+
+
+def clipped(spans: Column, length: Column) -> Column:
+    """What of the spans lies in a preview of so many characters, in the same order."""
+    shorter = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), s["span_start"].alias("span_start"), F.least(s["span_end"], length).alias("span_end")))
+    return F.filter(shorter, lambda s: s["span_end"] > s["span_start"])
+
+
+def matched_within(spans: Column, others: Column, typed: bool = True, keep: bool = True) -> Column:
+    """Of one row's spans those inside one of its others, or, without ``keep``, those inside none."""
+
+    def inside(x: Column, o: Column) -> Column:
+        held = (o["span_start"] <= x["span_start"]) & (o["span_end"] >= x["span_end"])
+        return held & (o["label"] == x["label"]) if typed else held
+
+    hit = lambda all_, x: F.coalesce(F.exists(all_, lambda o: inside(x, o)), F.lit(False))
+    return T.bound(others, lambda all_: F.filter(spans, lambda x: hit(all_, x) if keep else ~hit(all_, x)))
+
+
 def tags_to_spans(tokens: DataFrame, *, key: str = "doc_id", index: str = "token_idx", boundary: str = "boundary", label: str = "label") -> DataFrame:
     """Token spans (key, label, token_start, token_end) of tags, tolerant of broken sequences.
 

@@ -19,7 +19,7 @@ from veilspan.operators import sampling
 from veilspan.operators import spans as S
 from veilspan.operators import tokens as K
 from veilspan.plans import oracle as O
-from veilspan.sources import records
+from veilspan.sources import records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,13 +44,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def _gold_spans() -> Column:
+    """Disjoint gold spans of one text."""
+    return S.discard_overlaps_stable(R.detect(F.col("text"), R.PRIMARY))
+
+
+def _pred_spans() -> Column:
+    return S.discard_overlaps_by_label(R.detect(F.col("text"), R.ALTERNATE))
+
+
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint gold spans."""
-    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_stable(R.detect(F.col("text"), R.PRIMARY)))
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", _gold_spans())
 
 
 def _pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.spans_long(_docs(spark, sf_dir), "doc_id", S.discard_overlaps_by_label(R.detect(F.col("text"), R.ALTERNATE)))
+    return R.spans_long(_docs(spark, sf_dir), "doc_id", _pred_spans())
 
 
 _ALL = (*R.PRIMARY, *R.ALTERNATE)
@@ -168,19 +176,19 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.window_sizes(K.tokenize(_docs(spark, sf_dir), surface=False), 128)
 
 
-def _tagged(spark: SparkSession, sf_dir: str, which: Query) -> DataFrame:
-    """Won tokens; only documents with a span are tokenised."""
-    spans = which(spark, sf_dir)
-    return K.won_tokens(K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), surface=False), spans)
+def _tagged(spark: SparkSession, sf_dir: str, spans: Column) -> DataFrame:
+    """Won tokens with boundary and label; only documents with a span are tokenised."""
+    won = K.tag_tokens(_docs(spark, sf_dir), {"tag": spans}, background=False)
+    return won.select("*", F.left("tag", F.lit(1)).alias("boundary"), F.substring("tag", 3, 1 << 30).alias("label"))
 
 
 @_add("gold_token_labels", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'gold')} SELECT doc_id, token_idx, boundary || '-' || label AS tag FROM g")
 def gold_token_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tagged(spark, sf_dir, _gold).select("doc_id", "token_idx", K.tag(F.col("boundary"), F.col("label")).alias("tag"))
+    return _tagged(spark, sf_dir, _gold_spans()).select("doc_id", "token_idx", "tag")
 
 
 _ISLANDS = (
-    "isl AS (SELECT doc_id, label, min(token_idx) AS token_start, max(token_idx) + 1 AS token_end FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY token_idx) AS island FROM ("
+    "isl AS MATERIALIZED (SELECT doc_id, label, min(token_idx) AS token_start, max(token_idx) + 1 AS token_end FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY token_idx) AS island FROM ("
     "SELECT *, CASE WHEN boundary IN ('B', 'S') OR NOT coalesce(lag(token_idx) OVER w = token_idx - 1 AND lag(boundary) OVER w IN ('B', 'I') AND lag(label) OVER w = label, false) THEN 1 ELSE 0 END AS fresh "
     "FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY token_idx))) GROUP BY doc_id, label, island)"
 )
@@ -188,18 +196,17 @@ _ISLANDS = (
 
 @_add("bioes_to_spans", f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'pred')}, {_ISLANDS} SELECT doc_id, label, token_start, token_end FROM isl")
 def bioes_to_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.tags_to_spans(_tagged(spark, sf_dir, _pred))
+    return S.tags_to_spans(_tagged(spark, sf_dir, _pred_spans()))
 
 
 @_add(
     "token_to_char_spans",
-    f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'pred')}, {_ISLANDS} SELECT i.doc_id, i.label, a.char_start AS span_start, b.char_end AS span_end FROM isl i "
-    "JOIN tok a ON a.doc_id = i.doc_id AND a.token_idx = i.token_start JOIN tok b ON b.doc_id = i.doc_id AND b.token_idx = i.token_end - 1",
+    f"{_BOTH_SQL}, {O.TOKENS}, {O.labelled('g', 'pred')}, {_ISLANDS} SELECT i.doc_id, i.label, min(char_start) AS span_start, max(char_end) AS span_end FROM isl i "
+    "JOIN tok t ON t.doc_id = i.doc_id AND t.token_idx >= i.token_start AND t.token_idx < i.token_end GROUP BY i.doc_id, i.label, i.token_start, i.token_end",
 )
 def token_to_char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _pred(spark, sf_dir)
-    tokens = K.tokenize(_docs(spark, sf_dir).join(spans.select("doc_id").distinct(), "doc_id", "left_semi"), surface=False)
-    return S.token_to_char_spans(S.tags_to_spans(K.won_tokens(tokens, spans)), tokens)
+    tokens = _tagged(spark, sf_dir, _pred_spans())  # a span's tokens are all it needs
+    return S.token_to_char_spans(S.tags_to_spans(tokens), tokens)
 
 
 _IN = "EXISTS (SELECT 1 FROM {o} o WHERE o.doc_id = x.doc_id {typed}AND o.span_start <= x.span_start AND o.span_end >= x.span_end)"
@@ -209,8 +216,8 @@ for _name, _left, _keep in (("span_precision_semi", "pred", True), ("span_fp_ant
     _right = "gold" if _left == "pred" else "pred"
 
     def _match(spark: SparkSession, sf_dir: str, left: str = _left, keep: bool = _keep) -> DataFrame:
-        p, g = _pred(spark, sf_dir), _gold(spark, sf_dir)
-        return (M.matched if keep else M.unmatched)(*((p, g) if left == "pred" else (g, p)))
+        spans, others = (_pred_spans(), _gold_spans()) if left == "pred" else (_gold_spans(), _pred_spans())
+        return R.spans_long(_docs(spark, sf_dir), "doc_id", S.matched_within(spans, others, keep=keep))
 
     _add(_name, f"{_BOTH_SQL} SELECT {_SPAN_COLS} FROM {_left} x WHERE {'' if _keep else 'NOT '}{_TYPED.format(o=_right)}")(_match)
 
@@ -236,22 +243,17 @@ def _rounded(metrics: DataFrame) -> DataFrame:
 
 @_add("span_metrics_typed", _metric_sql(True))
 def span_metrics_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.span_metrics(_pred(spark, sf_dir), _gold(spark, sf_dir)))
+    return _rounded(M.metrics_of_counts(M.span_counts_within(_docs(spark, sf_dir), _pred_spans(), _gold_spans())))
 
 
 @_add("span_metrics_untyped", _metric_sql(False))
 def span_metrics_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.span_metrics(_pred(spark, sf_dir), _gold(spark, sf_dir), typed=False))
+    return _rounded(M.metrics_of_counts(M.span_counts_within(_docs(spark, sf_dir), _pred_spans(), _gold_spans(), typed=False), typed=False))
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, token_idx, gold_tag, pred_tag of all tokens."""
-    tag = K.tag(F.col("boundary"), F.col("label"))
-    gold = _tagged(spark, sf_dir, _gold).select("doc_id", "token_idx", tag.alias("gold_tag"))
-    pred = _tagged(spark, sf_dir, _pred).select("doc_id", "token_idx", tag.alias("pred_tag"))
-    tokens = K.tokenize(_docs(spark, sf_dir), surface=False).select("doc_id", "token_idx")
-    both = tokens.join(gold, ["doc_id", "token_idx"], "left").join(pred, ["doc_id", "token_idx"], "left")
-    return both.select("doc_id", "token_idx", F.coalesce("gold_tag", F.lit("O")).alias("gold_tag"), F.coalesce("pred_tag", F.lit("O")).alias("pred_tag"))
+    """doc_id, token_idx, gold_tag, pred_tag of all tokens, both sides tagged within the row."""
+    return K.tag_tokens(_docs(spark, sf_dir), {"gold_tag": _gold_spans(), "pred_tag": _pred_spans()})
 
 
 _TAGS_SQL = (
@@ -381,13 +383,17 @@ def topk_logprobs_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_scores(spark, sf_dir).select("doc_id", "token_idx", F.posexplode(best).alias("p", "k")).select("doc_id", "token_idx", (F.col("p") + 1).cast("long").alias("rank"), "k.label_id", "k.logprob")
 
 
-@_add("viterbi_decode")
-def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of whole texts, whose scores are built within the row: nothing is shuffled."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(K.TOKEN), F.lit(0))
     seeds = F.transform(found, lambda token, p: _text_seed(p.cast("long"), token))
     rows = _docs(spark, sf_dir).select("doc_id", F.transform(seeds, lambda seed, p: _text_values(seed, p.cast("long"))).alias("scores"))
-    decoded = D.viterbi(rows, _SPACE5, D.Biases(transition_bias_background_stay=0.25), logits=True)
+    return D.viterbi(rows, _SPACE5, D.Biases(transition_bias_background_stay=0.25), logits=True)
+
+
+@_add("viterbi_decode")
+def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = _viterbi(spark, sf_dir)
     return decoded.select("doc_id", F.posexplode("labels").alias("token_idx", "label_id")).select("doc_id", F.col("token_idx").cast("long"), F.col("label_id").cast("long"))
 
 
@@ -473,11 +479,164 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.best_epoch(_docs(spark, sf_dir).select(F.col("doc_id").alias("epoch"), ((F.col("doc_id") * 7 + 3) % 11).alias("loss")))
 
 
-@_add("result_json")
+_JSON = "CAST(to_json({}) AS VARCHAR)"
+
+
+@_add(
+    "result_json",
+    f"{_REDACT}, red AS ({O.redaction(O.MARK)}), one AS (SELECT doc_id, string_agg('{{\"label\":\"' || label || '\",\"start\":' || span_start || ',\"end\":' || span_end || ',\"text\":' || {_JSON.format('surface')} || "
+    f"',\"placeholder\":\"' || {O.MARK} || '\"}}', ',' ORDER BY span_start) AS found FROM kept GROUP BY doc_id), "
+    "per AS (SELECT doc_id, string_agg('\"' || label || '\":' || n, ',' ORDER BY label) AS per FROM (SELECT doc_id, label, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1) "
+    "SELECT d.doc_id, '{\"schema_version\":1,\"summary\":{\"output_mode\":\"typed\",\"span_count\":' || span_count || ',\"by_label\":{' || coalesce(per, '') || '},\"decoded_mismatch\":false}' "
+    f"|| CASE WHEN d.text IS NULL THEN '' ELSE ',\"text\":' || {_JSON.format('d.text')} END || ',\"detected_spans\":[' || coalesce(found, '') || ']' "
+    f"|| CASE WHEN d.text IS NULL THEN '' ELSE ',\"redacted_text\":' || {_JSON.format('redacted_text')} END || '}}' AS result FROM documents d JOIN red ON red.doc_id = d.doc_id LEFT JOIN one ON one.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id",
+)
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.Redactor().results(_docs(spark, sf_dir)).select("doc_id", "result")
 
 
+#: Token labels of the synthetic scores against a made-up gold label of each token.
+_LOSS_SQL = (
+    f"{_TEXT_SCORES_SQL}, best AS (SELECT doc_id, token_idx, min(class_id) FILTER (v = m) AS pred, max(lp) FILTER (class_id = (doc_id + token_idx) % 5) AS lp FROM (SELECT *, max(v) OVER (PARTITION BY doc_id, token_idx) AS m FROM own) GROUP BY 1, 2), "
+    "tags AS (SELECT ['O', 'B-pii', 'I-pii', 'E-pii', 'S-pii'][(doc_id + token_idx) % 5 + 1] AS gold_tag, ['O', 'B-pii', 'I-pii', 'E-pii', 'S-pii'][pred + 1] AS pred_tag, lp FROM best) "
+)
+
+
+def _scored_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gold_tag, pred_tag and the gold tag's log-probability of every token."""
+    names = F.array(*[F.lit(x) for x in _SPACE5.tokens])
+    gold = F.pmod(F.col("doc_id") + F.col("token_idx"), F.lit(5)).cast("int")
+    return _text_scores(spark, sf_dir).select(F.get(names, gold).alias("gold_tag"), F.get(names, D.argmax(F.col("logprobs")).cast("int")).alias("pred_tag"), F.get("logprobs", gold).alias("lp"))
+
+
+def _six(metrics: DataFrame) -> DataFrame:
+    return metrics.select("metric", F.round("value", 6).alias("value"))
+
+
+@_add(
+    "token_loss",
+    f"{_LOSS_SQL}, c AS (SELECT 'detection.' AS prefix, count(*) AS n, sum(lp) AS lp, count(*) FILTER (gold_tag = pred_tag) AS ok, count(*) FILTER (gold_tag <> 'O' AND pred_tag <> 'O') AS tp, "
+    "count(*) FILTER (gold_tag = 'O' AND pred_tag <> 'O') AS fp, count(*) FILTER (gold_tag <> 'O' AND pred_tag = 'O') AS fn FROM tags) SELECT metric, round(value, 6) AS value FROM (SELECT 'n_tokens' AS metric, CAST(n AS DOUBLE) AS value FROM c "
+    f"UNION ALL SELECT 'token_accuracy', CAST(ok AS DOUBLE) / nullif(n, 0) FROM c UNION ALL SELECT 'loss', -lp / nullif(n, 0) FROM c UNION ALL {_RATIOS}) WHERE value IS NOT NULL",
+)
+def token_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(M.token_metrics(_scored_tags(spark, sf_dir), "lp"))
+
+
+@_add(
+    "token_loss_by_class",
+    f"{_LOSS_SQL}, gc AS (SELECT gold_tag AS tag, count(*) AS g, sum(lp) AS lp, count(*) FILTER (gold_tag = pred_tag) AS tp FROM tags GROUP BY 1), pc AS (SELECT pred_tag AS tag, count(*) AS p FROM tags GROUP BY 1), "
+    "c AS (SELECT 'by_class.' || gc.tag || '.' AS prefix, lp / g AS mean, tp, coalesce(p, 0) - tp AS fp, g - tp AS fn FROM gc LEFT JOIN pc ON gc.tag = pc.tag WHERE gc.tag <> 'O') "
+    f"SELECT metric, round(value, 6) AS value FROM (SELECT prefix || 'loss' AS metric, -mean AS value FROM c UNION ALL {_RATIOS}) WHERE value IS NOT NULL",
+)
+def token_loss_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(M.token_metrics_by_class(_scored_tags(spark, sf_dir), "lp"))
+
+
+@_add("topk_diagnostics", f"{_TEXT_SCORES_SQL} SELECT doc_id, token_idx, rank, label_id, ['O', 'B-pii', 'I-pii', 'E-pii', 'S-pii'][label_id + 1] AS label, logprob FROM (SELECT doc_id, token_idx, CAST(class_id AS BIGINT) AS label_id, round(lp, 6) AS logprob, row_number() OVER (PARTITION BY doc_id, token_idx ORDER BY round(lp, 6) DESC, class_id) AS rank FROM own WHERE token_idx < 16) WHERE rank <= 2")
+def topk_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best labels of each example's first 16 tokens: the limit is the operator's own."""
+    rows = _text_scores(spark, sf_dir).withColumn("logprobs", F.transform("logprobs", lambda x: F.round(x, 6)))
+    return D.diagnostics(rows, _SPACE5, 2, max_tokens=16)
+
+
+@_add(
+    "viterbi_path_score",
+    f"{_TEXT_SCORES_SQL}, rows_ AS (SELECT doc_id, token_idx, list(lp ORDER BY class_id) AS x FROM own GROUP BY 1, 2), "
+    "seqs AS (SELECT doc_id, list(CASE WHEN token_idx = 0 THEN [x[1], x[2], x[3] - 1e9, x[4] - 1e9, x[5]] ELSE x END ORDER BY token_idx) AS s FROM rows_ GROUP BY 1), "
+    "ends AS (SELECT doc_id, list_reduce(s, lambda f, x: [x[1] + greatest(f[1] + 0.25, f[4], f[5]), x[2] + greatest(f[1], f[4], f[5]), x[3] + greatest(f[2], f[3]), x[4] + greatest(f[2], f[3]), x[5] + greatest(f[1], f[4], f[5])]) AS f FROM seqs) "
+    "SELECT doc_id, round(greatest(f[1], f[4], f[5]), 3) AS path_score FROM ends",
+)
+def viterbi_path_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the decoded labels add up to; the SQL has the best sum of all allowed sequences, so ties don't matter."""
+    return _viterbi(spark, sf_dir).where("path_score IS NOT NULL").select("doc_id", F.round("path_score", 3).alias("path_score"))
+
+
+@_add("complete_tokens", f"WITH {O.TOKENS} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
+def complete_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _text_scores(spark, sf_dir).unionByName(_text_scores(spark, sf_dir, 1))
+    return D.complete(both.select("doc_id", "token_idx"))
+
+
+@_add("agreed_tokens", f"WITH {O.TOKENS} SELECT doc_id, token_idx, token FROM tok")
+def agreed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = K.tokenize(_docs(spark, sf_dir)).select("doc_id", "token_idx", "token")
+    return D.agreed(tokens.unionByName(tokens.where(F.col("token_idx") >= _STEP)))  # as two overlapping windows hold them
+
+
+@_add("predictions_long", f"{_REDACT} SELECT doc_id AS example_id, label || ': ' || surface AS name, span_start, span_end FROM kept")
+def predictions_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _docs(spark, sf_dir).withColumn("found", S.select_non_overlapping(R.detect(F.col("text"))))
+    rows = sinks.predictions(df, "found", example_id="doc_id").select("example_id", F.explode("predicted_spans").alias("name", "places"))
+    return rows.select("example_id", "name", F.explode("places").alias("p")).select("example_id", "name", F.get("p", F.lit(0)).alias("span_start"), F.get("p", F.lit(1)).alias("span_end"))
+
+
+@_add("parse_records", f"WITH RECURSIVE {_GOLD_SQL} SELECT {_SPAN_COLS} FROM gold")
+def parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled records with the gold spans, one half of them in each of the two forms, back to span rows."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", _gold_spans().alias("s"))
+    keyed, other = F.col("doc_id") % 2 == 0, F.transform("s", lambda s: F.struct(s["label"].alias("category"), s["span_start"].alias("start"), s["span_end"].alias("end")))
+    made = rows.select("doc_id", "text", F.when(keyed, sinks.grouped_spans(F.col("text"), F.col("s"))).alias("spans"), F.when(~keyed, other).alias("label"))
+    return records.validated(records.gold_spans(made, "doc_id"), made, L.builtin("v2").spans, "doc_id").select("doc_id", "label", "span_start", "span_end")
+
+
+def _dim_sql(version: str) -> str:
+    space = L.builtin(version)
+    rows = ", ".join(f"({k}, {O.quoted(n)}, " + ("NULL" if n == "O" else O.quoted(n[0])) + ")" for k, n in enumerate(space.tokens))
+    return f"(VALUES {rows}) AS {version}(label_id, name, boundary)"
+
+
+@_add(
+    "label_remap",
+    "SELECT CAST(t.label_id AS INTEGER) AS label_id, t.name, CAST(coalesce(x.label_id, n.near) AS INTEGER) AS source_id, CASE WHEN x.label_id IS NOT NULL THEN 'exact' WHEN n.near IS NOT NULL THEN 'boundary' END AS how "
+    f"FROM (SELECT * FROM {_dim_sql('v4')}) t LEFT JOIN (SELECT * FROM {_dim_sql('v2')}) x ON x.name = t.name LEFT JOIN (SELECT boundary, coalesce(min(label_id) FILTER (name LIKE '%-secret'), min(label_id)) AS near FROM {_dim_sql('v2')} WHERE boundary IS NOT NULL GROUP BY 1) n ON n.boundary = t.boundary",
+)
+def label_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.remap(L.builtin("v2").token_dim(spark), L.builtin("v4").token_dim(spark))
+
+
+@_add("label_names", f"SELECT doc_id, coalesce(name, 'label_' || doc_id % 40) AS label FROM documents LEFT JOIN {_dim_sql('v2')} ON label_id = doc_id % 40")
+def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("label_id"))
+    return L.with_names(ids, L.builtin("v2").token_dim(spark)).select("doc_id", "label")
+
+
+@_add(
+    "span_views",
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span_start, old_end, label) - 1 AS place, label, span_start, span_end FROM "
+    f"(SELECT s.doc_id, label, span_start, span_end AS old_end, least(span_end, length(text) // 2) AS span_end FROM ({O.spans(_ALL)}) s JOIN documents d ON d.doc_id = s.doc_id) WHERE span_end > span_start",
+)
+def span_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as a preview of a text's first half shows them."""
+    half = F.floor(F.length("text") / 2).cast("long")
+    views = S.clipped(S.normalised(R.detect(F.col("text"), _ALL), F.length("text").cast("long")), half)
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(views).alias("place", "s")).select("doc_id", F.col("place").cast("long").alias("place"), "s.*")
+
+
+@_add("paragraph_hits", f"{_REDACT}, f AS (SELECT DISTINCT doc_id, surface FROM kept), l AS (SELECT doc_id, CAST(k - 1 AS BIGINT) AS paragraph, p[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) q, unnest(range(1, len(q.p) + 1)) AS u(k)) SELECT l.doc_id, paragraph, surface FROM l JOIN f ON f.doc_id = l.doc_id AND contains(line, surface)")
+def paragraph_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.paragraph_hits(_docs(spark, sf_dir), "doc_id", F.col("text"), S.select_non_overlapping(R.detect(F.col("text"))))
+
+
+@_add("max_examples", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
+def max_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 examples: the limit is the operator's own."""
+    return sampling.first_examples(_docs(spark, sf_dir).select("doc_id", "lang"), 100)
+
+
+@_add(
+    "token_fragments",
+    "WITH c AS (SELECT doc_id, k, ch, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM (SELECT doc_id, unnest(m) AS ch, generate_subscripts(m, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS m FROM documents))) "
+    "SELECT doc_id, CAST((stop - 1) // 16 AS BIGINT) AS token_idx, string_agg(ch, '' ORDER BY k) AS fragment, min(k) - 1 AS char_start, max(k) AS char_end FROM c GROUP BY 1, 2",
+)
+def token_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of 16 bytes each, which split characters as byte-level vocabularies do."""
+    places = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("text"), F.lit(1)) - 1) / 16).cast("int"))
+    body = F.col("text").cast("binary")
+    tokens = F.when(F.octet_length("text") > 0, F.transform(places, lambda k: F.substring(body, k * 16 + 1, F.lit(16))))
+    return K.token_fragments(_docs(spark, sf_dir), tokens)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -57,7 +57,7 @@ def redaction(placeholder: str, table: str = "documents", keys: str = "doc_id",
 MARK = "'<' || trim(regexp_replace(upper(label), '[^A-Za-z0-9]+', '_', 'g'), '_') || '>'"
 
 TOKENS = (
-    f"tok AS (SELECT doc_id, CAST(k - 1 AS BIGINT) AS token_idx, token, CAST(stop - length(token) AS BIGINT) AS char_start, CAST(stop AS BIGINT) AS char_end FROM ("
+    f"tok AS MATERIALIZED (SELECT doc_id, CAST(k - 1 AS BIGINT) AS token_idx, token, CAST(stop - length(token) AS BIGINT) AS char_start, CAST(stop AS BIGINT) AS char_end FROM ("
     f"SELECT doc_id, k, token, sum(length(gap) + length(token)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM ("
     f"SELECT doc_id, k, g[k] AS gap, m[k] AS token FROM (SELECT doc_id, string_split_regex(text, {quoted(TOKEN)}) AS g, regexp_extract_all(text, {quoted(TOKEN)}) AS m FROM documents) q, "
     f"unnest(range(1, len(q.m) + 1)) AS u(k))))"

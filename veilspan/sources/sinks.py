@@ -13,7 +13,8 @@ from veilspan.functions import text as T
 
 def grouped_spans(text: Column, spans: Column) -> Column:
     """map<"label: surface", [[start, end], …]> in order of first occurrence."""
-    keyed = F.transform(spans, lambda s: F.struct(F.concat(s["label"], F.lit(": "), T.surface(text, s["span_start"], s["span_end"])).alias("k"), F.array(s["span_start"], s["span_end"]).alias("o")))
+    name = lambda held, s: F.concat(s["label"], F.lit(": "), T.piece(held, s["span_start"], s["span_end"]))
+    keyed = T.bound(T.blocks(text), lambda held: F.transform(spans, lambda s: F.struct(name(held, s).alias("k"), F.array(s["span_start"], s["span_end"]).alias("o"))))
     keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["o"]))))
 
