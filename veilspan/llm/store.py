@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -58,6 +59,12 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def forget(held: Broadcast) -> None:
+    """Drop a Python worker's copy of a broadcast value, which it would keep after its task; whoever asks next loads it
+    anew. Without effect where the copy is held under another name."""
+    held.__dict__.pop("_value", None)
+
+
 def trim() -> None:
     """Give a Python worker's free memory back: it outlives its task."""
     import ctypes

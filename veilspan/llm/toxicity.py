@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.store import small_batches, trim, written
+from veilspan.llm.store import forget, small_batches, trim, written
 
 _TERM = re.compile(r"[^\W\d_]+")
 #: The same for texts below U+0250 alone, with the letters spelled out, which is faster.
@@ -343,6 +343,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text: str
             good = [of(t.as_py())[0] < threshold for t in batch.column(batch.schema.get_field_index(text))]
             if any(good):
                 yield batch.filter(pa.array(good))
+        del of
+        forget(held)
         trim()
 
     return small_batches(docs).mapInArrow(task, docs.schema)
